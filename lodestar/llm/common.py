@@ -56,3 +56,31 @@ def stored(df: DataFrame) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the ids that no operator learns from; null ids are held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """Applies fn (a RecordBatch to a dict of columns) to every batch; the dict's columns come out in the schema's order."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                out = fn(batch)
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c := out[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for f in arrow], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def texts_of(batch, column: str = "text") -> list[str]:
+    """The batch's texts, null as empty."""
+    return [t or "" for t in batch.column(column).to_pylist()]
+
+
+def struct(fields: str):
+    """'a long, b string' as a StructType."""
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(fields)
