@@ -112,7 +112,7 @@ class Bpe:
         s, at, out = "".join([self.chars[b] for b in word.encode()]) + END, 0, []
         while at < len(s):
             for stop in range(min(len(s), at + self.longest), at, -1):
-                i = self.whole.get(s[at:stop])
+                i = self.whole.get(s[at:stop]) if stop != len(s) - 1 else None  # the last character goes with the end
                 if i is not None:
                     out.append(i)
                     at = stop

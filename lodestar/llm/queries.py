@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import mixing, quality_rules
+from lodestar.llm import bpe, minhash, mixing, quality_rules, secrets
 from lodestar.llm.common import read
 
 
@@ -14,5 +14,17 @@ def op8_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules, "op8_mixing": op8_mixing}
+def op2_minhash(spark, sf_dir):
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op5_secrets(spark, sf_dir):
+    return secrets.digest(read(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark, sf_dir):
+    return bpe.digest(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_minhash": op2_minhash, "op5_secrets": op5_secrets, "op10_bpe": op10_bpe, "op4_quality_rules": op4_quality_rules, "op8_mixing": op8_mixing}
 ORACLES = {"op4_quality_rules": quality_rules.SQL, "op8_mixing": mixing.SQL}
