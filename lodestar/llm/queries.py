@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bpe, minhash, mixing, quality_rules, secrets
+from lodestar.llm import bpe, language, minhash, mixing, quality_model, quality_rules, secrets
 from lodestar.llm.common import read
 
 
@@ -14,6 +14,15 @@ def op8_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_quality_classifier(spark, sf_dir):
+    return quality_model.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_language(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
 def op2_minhash(spark, sf_dir):
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -26,5 +35,5 @@ def op10_bpe(spark, sf_dir):
     return bpe.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_minhash": op2_minhash, "op5_secrets": op5_secrets, "op10_bpe": op10_bpe, "op4_quality_rules": op4_quality_rules, "op8_mixing": op8_mixing}
+QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op6_language": op6_language, "op2_minhash": op2_minhash, "op5_secrets": op5_secrets, "op10_bpe": op10_bpe, "op4_quality_rules": op4_quality_rules, "op8_mixing": op8_mixing}
 ORACLES = {"op4_quality_rules": quality_rules.SQL, "op8_mixing": mixing.SQL}
