@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import held_out, map_arrow, struct, texts_of
 
-SAMPLE, LONGEST, REMEMBERED = 20_000, 4, 300_000
+SAMPLE, LONGEST, REMEMBERED = 5_000, 4, 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -37,24 +37,25 @@ class Languages:
     def __init__(self, counts: dict[tuple[str, int, str], int]) -> None:
         """counts: (language, 0 for words or the n-gram length, string) to occurrences."""
         self.names = sorted({k[0] for k in counts})
-        at, size = {x: i for i, x in enumerate(self.names)}, len(self.names)
-        self.tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+        at = {x: i for i, x in enumerate(self.names)}
+        self.rows: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        for _, n, s in counts:
+            self.rows[n].setdefault(s, len(self.rows[n]))
+        self.logs = [np.zeros((len(r), len(at))) for r in self.rows]
         for (lang, n, s), c in counts.items():
-            self.tables[n].setdefault(s, np.zeros(size))[at[lang]] += c
-        for table in self.tables:
-            total = sum(table.values(), np.zeros(size))
-            for s, v in table.items():
-                table[s] = np.log((v + 0.1) / (total + 0.1 * (len(table) + 1)))
+            self.logs[n][self.rows[n][s], at[lang]] += c
+        self.logs = [np.log((m + 0.1) / (m.sum(0) + 0.1 * (len(m) + 1))).astype(np.float32) for m in self.logs]
         self.known: dict[str, np.ndarray] = {}
 
     def evidence(self, word: str) -> np.ndarray:
-        found = self.tables[0].get(word)
-        n = LONGEST
-        while found is None and n > 0:
-            parts = [self.tables[n][g] for g in grams(word, n) if g in self.tables[n]]
-            found = np.mean(parts, axis=0) if parts else None
-            n -= 1
-        return np.zeros(len(self.names)) if found is None else found
+        row = self.rows[0].get(word)
+        if row is not None:
+            return self.logs[0][row]
+        for n in range(LONGEST, 0, -1):
+            rows = [self.rows[n][g] for g in grams(word, n) if g in self.rows[n]]
+            if rows:
+                return self.logs[n][rows].mean(0)
+        return np.zeros(len(self.names))
 
     def predict(self, text: str) -> tuple[str, float]:
         counted = Counter(words(text)) if self.names else None
@@ -82,11 +83,12 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     def count(batch):
         c: Counter = Counter()
         for t, lang in zip(texts_of(batch), batch.column("lang").to_pylist(), strict=True):
-            for w, k in Counter(words(t)).items():
-                c[lang, 0, w] += k
-                for n in range(1, LONGEST + 1):
-                    for g in grams(w, n):
-                        c[lang, n, g] += k
+            for w in words(t):
+                c[lang, 0, w] += 1
+        for (lang, _, w), k in list(c.items()):
+            for n in range(1, LONGEST + 1):
+                for g in grams(w, n):
+                    c[lang, n, g] += k
         keys = list(c)
         return {"lang": [k[0] for k in keys], "n": [k[1] for k in keys], "s": [k[2] for k in keys], "c": [c[k] for k in keys]}
 

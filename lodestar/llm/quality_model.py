@@ -23,7 +23,7 @@ from pyspark.sql.types import StructType
 
 from lodestar.llm.common import held_out, map_arrow, struct, texts_of
 
-SAMPLE, BINS, GRID, ROUNDS, RATE, LEAVES, PAIRS = 20_000, 64, 8, 120, 0.08, 3, 12
+SAMPLE, BINS, GRID, ROUNDS, RATE, LEAVES, PAIRS = 5_000, 64, 8, 120, 0.08, 3, 12
 THRESHOLD = 0.3
 _SYMBOL = re.compile(r"[#*$%&|<>{}\[\]\\^~=_@]")
 _STRONG = re.compile(r"[!?]")
