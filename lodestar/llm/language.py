@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import held_out, map_arrow, struct, texts_of
 
-SAMPLE, LONGEST, REMEMBERED = 5_000, 4, 300_000
+SAMPLE, LONGEST, REMEMBERED = 2_000, 4, 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -93,8 +93,10 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
         return {"lang": [k[0] for k in keys], "n": [k[1] for k in keys], "s": [k[2] for k in keys], "c": [c[k] for k in keys]}
 
     counted = map_arrow(taught.join(F.broadcast(chosen), "id").select("text", "lang"), count, struct("lang string, n int, s string, c long"))
-    got = counted.groupBy("lang", "n", "s").agg(F.sum("c").alias("c")).toPandas()
-    return Languages({(a, b, s): int(c) for a, b, s, c in zip(got.lang, got.n, got.s, got.c)})
+    # What was seen once says little; such words and n-grams are left to the backoff.
+    got = counted.groupBy("lang", "n", "s").agg(F.sum("c").alias("c")).where("c > 1 or n = 1").toArrow()
+    keys = zip(*(got.column(x).to_pylist() for x in ("lang", "n", "s")), strict=True)
+    return Languages(dict(zip(keys, got.column("c").to_pylist(), strict=True)))
 
 
 def identify(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bpe, hnsw, language, minhash, mixing, quality_model, quality_rules, secrets
+from lodestar.llm import bpe, chat, hnsw, language, license, minhash, mixing, quality_model, quality_rules, secrets
 from lodestar.llm.common import read
 
 
@@ -27,6 +27,14 @@ def op7_hnsw(spark, sf_dir):
     return hnsw.search(read(spark, sf_dir, "embeddings"))
 
 
+def op3_license_scan(spark, sf_dir):
+    return license.scan(read(spark, sf_dir, "documents"))
+
+
+def op9_chat_formatting(spark, sf_dir):
+    return chat.format_chat(read(spark, sf_dir, "conversations"))
+
+
 def op2_minhash(spark, sf_dir):
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -39,5 +47,5 @@ def op10_bpe(spark, sf_dir):
     return bpe.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_hnsw": op7_hnsw, "op1_quality_classifier": op1_quality_classifier, "op6_language": op6_language, "op2_minhash": op2_minhash, "op5_secrets": op5_secrets, "op10_bpe": op10_bpe, "op4_quality_rules": op4_quality_rules, "op8_mixing": op8_mixing}
+QUERIES = {"op3_license_scan": op3_license_scan, "op9_chat_formatting": op9_chat_formatting, "op7_hnsw": op7_hnsw, "op1_quality_classifier": op1_quality_classifier, "op6_language": op6_language, "op2_minhash": op2_minhash, "op5_secrets": op5_secrets, "op10_bpe": op10_bpe, "op4_quality_rules": op4_quality_rules, "op8_mixing": op8_mixing}
 ORACLES = {"op4_quality_rules": quality_rules.SQL, "op8_mixing": mixing.SQL}
