@@ -20,13 +20,13 @@ _SHAPES = {"string": r'^".*"$', "number": r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+
 _CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:map<string,string>>>,tool_call_id:string,content:string>"
 
 
-def valid_arguments(name, arguments, raw, schemas=SCHEMAS):
+def valid_arguments(name, arguments, schemas=SCHEMAS):
     """Null for a tool without a schema."""
     out = F.lit(None).cast("boolean")
     for tool, fields in schemas.items():
         fits = F.lit(True)
         for field, kind in fields.items():
-            value = F.get(arguments, F.lit(field))
+            value = F.try_element_at(arguments, F.lit(field))
             fits = fits & (value.isNotNull() & (F.lit(kind == "string") | value.rlike(_SHAPES[kind])))
         out = F.when(name == tool, F.coalesce(fits, F.lit(False))).otherwise(out)
     return out
@@ -45,7 +45,7 @@ def format_chat(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     results = df.where(is_result).select("conv_id", "turn", "role", F.col("j.tool_call_id").alias("call_id"), "j.content")
     results = results.join(first, (F.col("conv_id") == F.col("k_conv")) & (F.col("call_id") == F.col("k_id")), "left")
     answered = df.where(is_result).select(F.col("conv_id").alias("r_conv"), F.col("j.tool_call_id").alias("r_id")).distinct()
-    calls = calls.join(answered, (F.col("conv_id") == F.col("r_conv")) & (F.col("call_id") == F.col("r_id")), "left").withColumn("valid", valid_arguments(F.col("name"), F.col("arguments"), None, schemas))
+    calls = calls.join(answered, (F.col("conv_id") == F.col("r_conv")) & (F.col("call_id") == F.col("r_id")), "left").withColumn("valid", valid_arguments(F.col("name"), F.col("arguments"), schemas))
     keep = {"ignoreNullFields": "false"}
     none = F.lit(None)
     plain = df.where(~is_calls & ~is_result).select("conv_id", "turn", F.col("turn").alias("place"), F.lit(0).alias("step"), "role", none.cast("string").alias("call_id"), none.cast("boolean").alias("linked"), none.cast("boolean").alias("valid"), F.to_json(F.struct("role", F.col("text").alias("content")), keep).alias("message"))

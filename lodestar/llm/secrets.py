@@ -22,25 +22,28 @@ from lodestar.llm.common import map_arrow, struct, texts_of
 
 @dataclass(frozen=True)
 class Rule:
-    """tail: the fewest characters that must end the match, all of `tail_set`, or else it is dropped."""
+    """tail: the fewest characters of an assigned value; least: the fewest of the whole match. Shorter matches are dropped.
+
+    Lengths that are checked afterwards keep the combined automaton small: counters of several rules would multiply.
+    """
 
     kind: str
     pattern: str
     ignore_case: bool = False
     tail: int = 0
-    tail_set: str = ""
+    least: int = 0
 
 
-# Formats of secrets. The first three are the base kinds; the lengths of `access` and `hex` are within
-# their patterns, as a run that is too short has no longer match inside.
+# Formats of secrets. A run of hex digits that is too short has no longer match inside, so its length may
+# stay in the pattern and texts without a long run need no second look.
 RULES = (
-    Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", True, 6, "+/_.=-"),
-    Rule("access", r"AKIA[A-Z0-9]{16,}"),
+    Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", True, tail=6),
+    Rule("access", r"AKIA[A-Z0-9]+", least=20),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("google", r"AIza[A-Za-z0-9_-]{35,}"),
+    Rule("private_key", r"-----BEGIN ([A-Z]+ )?PRIVATE KEY-----"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", least=40),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", least=15),
+    Rule("google", r"AIza[A-Za-z0-9_-]+", least=39),
 )
 BASE = ("assign", "access", "hex")
 
@@ -71,7 +74,7 @@ def spans_in(texts: list[str], rules: tuple[Rule, ...], machines) -> list[list[t
         d, rule = data[t], rules[k]
         plain = len(d) == len(texts[t])
         for start, end in automata.matches(own[k], d):
-            if rule.tail and _value_length(rule, d[start:end].decode("ascii")) < rule.tail:
+            if end - start < rule.least or rule.tail and _value_length(rule, d[start:end].decode("ascii")) < rule.tail:
                 continue
             at = start if plain else len(d[:start].decode("utf-8", "surrogatepass"))
             out[t].append((at, at + end - start, k))
