@@ -37,3 +37,9 @@ def _knn_sql(score: str) -> str:
 def exact_knn_ip(spark, sf_dir):
     base, queries = base_and_queries(spark, sf_dir)
     return exact_knn(base, queries, 10, "ip").withColumn("score", F.round("score", 6))
+
+
+@query("exact_knn_l2", _knn_sql("list_sum(list_transform(list_zip(q, embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double)))"))
+def exact_knn_l2(spark, sf_dir):
+    base, queries = base_and_queries(spark, sf_dir)
+    return exact_knn(base, queries, 10, "l2").withColumn("score", F.round("score", 6))
