@@ -38,7 +38,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
     open_weight = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     budget = F.sum("source_size").over(everything) * percent / 100.0
     df = df.withColumn("level", (budget - before) / open_weight)
-    level = F.min(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(everything)
+    level = F.max(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(everything)  # of the first source that stays open; later ones are lower
     first = F.coalesce(level, F.lit(float("inf")))
     return df.select("source", "source_size", "n_docs", F.least(first * F.col("weight"), F.col("cap")).alias("target"))
 
@@ -81,7 +81,7 @@ z as (select source, sum(size) as source_size from a group by source),
 w as (select *, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight, 2 * source_size::double as cap from z),
 f as (select *, cap / weight as fill from w),
 l as (select *, (sum(source_size) over () * 150 / 100.0 - coalesce(sum(cap) over (order by fill, source nulls last rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by fill, source nulls last rows between current row and unbounded following) as level from f),
-m as (select *, min(case when level <= fill then level end) over () as first from l),
+m as (select *, max(case when level <= fill then level end) over () as first from l),
 t as (select source, source_size, least(coalesce(first, 'inf'::double) * weight, cap) as target, case when source_size > 0 then least(coalesce(first, 'inf'::double) * weight, cap) / source_size::double else 0 end as rate,
   ('0x' || substr(md5('mix|offset|' || coalesce(source, chr(0))), 1, 12))::bigint::double / 281474976710656.0 as u from m),
 r as (select *, row_number() over (partition by source order by size_class, h, doc_id) as i from c)
