@@ -100,7 +100,8 @@ def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[str, ..
     """doc_id, the number of spans of each base kind, a hash of the base spans, and all spans as text."""
     found = scan(docs, rules, id_col, text_col)
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in base]
+    of_kind = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    counts = [F.size(of_kind(kind)).cast("bigint").alias(f"n_{kind}") for kind in base]
     return found.select("doc_id", *counts, F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(*base))).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
