@@ -2,13 +2,15 @@
 
 The automaton runs over whole batches of texts and tells which rules end a match in which text. Only for those (text,
 rule) pairs the rule's own automaton, built the same way, gives the leftmost longest spans. Null and empty texts have no
-spans. Offsets count code points, the end excluded. Repeated rows are scanned one by one; other columns pass through
-`redact` untouched.
+spans. A private key is found by its BEGIN line; its span runs on to its END line or, where that is missing before the next
+BEGIN line, over the lines of base64 that follow. Offsets count code points, the end excluded. Repeated rows are scanned one
+by one; other columns pass through `redact` untouched.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -24,7 +26,8 @@ from lodestar.llm.common import map_arrow, struct, texts_of
 class Rule:
     """tail: the fewest characters of an assigned value; least: the fewest of the whole match. Shorter matches are dropped.
 
-    Lengths that are checked afterwards keep the combined automaton small: counters of several rules would multiply.
+    Lengths that are checked afterwards keep the combined automaton small: counters of several rules would multiply. So does
+    `runs_on`: the match is the BEGIN line of a key, whose body is added to the span afterwards.
     """
 
     kind: str
@@ -32,6 +35,7 @@ class Rule:
     ignore_case: bool = False
     tail: int = 0
     least: int = 0
+    runs_on: bool = False
 
 
 # Formats of secrets. A run of hex digits that is too short has no longer match inside, so its length may
@@ -40,7 +44,7 @@ RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", True, tail=6),
     Rule("access", r"AKIA[A-Z0-9]+", least=20),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("private_key", r"-----BEGIN ([A-Z]+ )?PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY( BLOCK)?-----", runs_on=True),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", least=40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", least=15),
     Rule("google", r"AIza[A-Za-z0-9_-]+", least=39),
@@ -61,6 +65,20 @@ def _value_length(rule: Rule, value: str) -> int:
     return len(rest[1:] if rest[:1] in ("'", '"') else rest)
 
 
+_KEY_END = re.compile(rb"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+# Line ends, also escaped ones of source code and JSON, with what may stand around a quoted or indented line.
+_GAP = rb"""(?:[\s"'`+,>*#|]|\\[nrt]|//\x20)*+"""
+_HEADER = rb"(?:Proc-Type|DEK-Info|Key-Info|Content-Domain|Version|Comment|Hash|Charset|MessageID):[^\r\n\\]*+"
+# Header lines of a key, long runs of base64, shorter ones that fill their line, and the check sum of OpenPGP.
+_BODY = re.compile(rb"""(?>%b(?:%b|[A-Za-z0-9+/]{16,}+=*+|[A-Za-z0-9+/]++=*+(?=[\x20\t"'`+,]*+(?:[\r\n]|\\[nr]|\Z))|=[A-Za-z0-9+/]{4}(?![A-Za-z0-9+/])))++""" % (_GAP, _HEADER))
+
+
+def _key_end(data: bytes, start: int, limit: int) -> int:
+    """Where a key ends whose BEGIN line ends at `start`, no later than `limit`."""
+    found = _KEY_END.search(data, start, limit) or _BODY.match(data, start, limit)
+    return found.end() if found else start
+
+
 def spans_in(texts: list[str], rules: tuple[Rule, ...], machines) -> list[list[tuple[int, int, int]]]:
     """Per text its (start, end, rule number) in code points, by start and then rule."""
     whole, own = machines
@@ -73,11 +91,14 @@ def spans_in(texts: list[str], rules: tuple[Rule, ...], machines) -> list[list[t
     for t, k in sorted(todo):
         d, rule = data[t], rules[k]
         plain = len(d) == len(texts[t])
-        for start, end in automata.matches(own[k], d):
+        found = automata.matches(own[k], d)
+        if rule.runs_on:
+            found = [(a, _key_end(d, b, limit)) for (a, b), limit in zip(found, [a for a, _ in found[1:]] + [len(d)], strict=True)]
+        for start, end in found:
             if end - start < rule.least or rule.tail and _value_length(rule, d[start:end].decode("ascii")) < rule.tail:
                 continue
             at = start if plain else len(d[:start].decode("utf-8", "surrogatepass"))
-            out[t].append((at, at + end - start, k))
+            out[t].append((at, at + (end - start if plain else len(d[start:end].decode("utf-8", "surrogatepass"))), k))
     return [sorted(x, key=lambda s: (s[0], s[2])) for x in out]
 
 
