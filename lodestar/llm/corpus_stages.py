@@ -30,8 +30,7 @@ def without_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    copies = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    return mixing.copied(docs)
 
 
 def tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

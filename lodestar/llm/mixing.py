@@ -12,7 +12,7 @@ of its own, after the others; no rows give no rows. Repeated rows are separate d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import WORD
@@ -45,11 +45,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
 
 def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source, source_size, target, copies, taken (= copies * size)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"), F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string"), text).cast("binary")).alias("h"))
+    df = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *_size_and_hash(seed, id_col, text_col))
     return mixed(df, seed).select("doc_id", "size", "source", "source_size", "target", "copies", "taken")
 
 
+def copied(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows and columns of docs, every row as often as the mix takes it. Ids need not be unique: each row carries its columns along."""
+    df = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *_size_and_hash(seed, id_col, text_col))
+    taken = mixed(df, seed).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+
+
+def _size_and_hash(seed: str, id_col: str, text_col: str) -> tuple[Column, Column]:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"), F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string"), text).cast("binary")).alias("h")
+
+
 def mixed(df: DataFrame, seed: str) -> DataFrame:
     """Adds source_size, target, copies and taken to rows with source, size and h (a hash, the order within a size class)."""
     digits = F.bin("size")
