@@ -18,9 +18,10 @@ def good_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of five-word near-copies at 0.8, and every document without words."""
-    found = minhash.near_duplicates(docs, width=5, percent=80)
-    kept = found.where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    found = minhash.judged(docs, width=5, percent=80)
+    kept = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (minhash.digest(F.col("text")) == F.col("_digest"))
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def without_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

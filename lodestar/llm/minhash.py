@@ -13,8 +13,9 @@ similarity and drop the hopeless pairs; the full sets decide about the rest.
 At a similarity of 0.85 the shared part of a union sketch of 64 has a mean of 54 and a deviation below 3; 41 are asked for,
 five deviations less, by the lists and the estimate alike. Sets of up to k shingles are compared without any risk.
 
-Empty and null texts have an empty set and are linked with nothing. A repeated row is in its class like any copy. Null
-ids never name a component unless all its ids are null. Other columns are ignored.
+Empty and null texts have an empty set, are linked with nothing and are all kept. Of a component one document is kept, that is
+one pair of id and text; a repeated row is judged like the first, but of rows without an id only one is kept. Null ids never
+name a component unless all its ids are null. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,16 +64,21 @@ class Shingler:
         return np.unique((total ^ (total >> np.uint64(32))).view(np.int64))
 
 
+def digest(text: Column) -> Column:
+    """Tells texts apart where ids do not; null is as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def sketches(docs: DataFrame, width: int, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, node (the digest of the whole set, null if empty), sketch."""
+    """doc_id, digest (of the text), n_shingles, node (the digest of the whole set, null if empty), sketch."""
 
     def run(batch):
         shingler = Shingler(width)
         sets = [shingler(t) for t in texts_of(batch)]
-        return {"doc_id": batch.column("doc_id"), "n_shingles": [len(s) for s in sets], "node": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "sketch": [s[:k] for s in sets]}
+        return {"doc_id": batch.column("doc_id"), "digest": batch.column("digest"), "n_shingles": [len(s) for s in sets], "node": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "sketch": [s[:k] for s in sets]}
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_arrow(rows, run, struct(f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, node binary, sketch array<long>"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), digest(F.col(text_col)).alias("digest"))
+    return map_arrow(rows, run, struct(f"doc_id {docs.schema[id_col].dataType.simpleString()}, digest binary, n_shingles long, node binary, sketch array<long>"))
 
 
 def _full_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -169,9 +175,14 @@ def _with_roots(lists: DataFrame, roots: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: texts linked where 100 * shared >= percent * united shingles."""
+    return judged(docs, width, percent, k, id_col, text_col).drop("digest")
+
+
+def judged(docs: DataFrame, width: int, percent: int, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """near_duplicates with the digest of each row's text."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stored(sketches(named, width, k))
-    nodes = stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    rows = stored(sketches(named, width, k).withColumn("row", F.monotonically_increasing_id()))
+    nodes = stored(rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "row")).alias("best"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
 
     lists = stored(inverted(nodes, percent, k))
 
@@ -181,9 +192,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, k: int =
     hopeful = stored(_hopeful(first, nodes, percent, k))
 
     wanted = lists.select("node").distinct()
-    chosen = rows.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = named.join(chosen, "doc_id").select("node", "text")
-    # A repeated id may have several texts; only the set with the node's digest is the node's.
+    chosen = nodes.join(wanted, "node").select("node", F.col("best.doc_id").alias("c_id"), F.col("best.digest").alias("c_digest"))
+    texts = named.join(chosen, F.col("doc_id").eqNullSafe(F.col("c_id")) & (digest(F.col("text")) == F.col("c_digest"))).select("node", "text")
     sets = stored(_full_sets(texts, width).where("members is not null").dropDuplicates(["node"]))
     links = stored(_confirmed(hopeful, sets, percent))
 
@@ -210,8 +220,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, k: int =
     more = stored(_confirmed(_hopeful(second, nodes, percent, k), sets, percent))
 
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    named_nodes = nodes.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = named_nodes.groupBy("root").agg(F.min("least_id").alias("component"))
-    ids = named_nodes.join(names, "root").select("node", "component")
-    out = rows.drop("sketch").join(ids, "node", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    named_nodes = nodes.select("node", "best").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = named_nodes.groupBy("root").agg(F.min("best").alias("best"))
+    ids = named_nodes.drop("best").join(names, "root").select("node", "best")
+    out = rows.drop("sketch").join(ids, "node", "left")
+    # Without words (no best) a row is kept.
+    same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest")) & (F.col("doc_id").isNotNull() | (F.col("row") == F.col("best.row")))
+    return out.select("doc_id", "digest", "n_shingles", F.coalesce("best.doc_id", "doc_id").alias("component_id"), (F.col("best").isNull() | same).alias("kept"))
