@@ -22,3 +22,13 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "i
     pairs = base.join(F.broadcast(queries))
     scored = pairs.select("qid", "vec_id", score(F.col("q"), F.col("embedding"), metric).alias("score"))
     return top_k(scored, k).select("qid", "rank", "vec_id", "score")
+
+
+def exact_knn_all(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "ip") -> DataFrame:
+    """(qid, rank, vec_id, score): every query against every row but its own.
+
+    Partitions of rows and queries meet pair by pair, so the number of queries may grow with the rows.
+    """
+    pairs = rows.join(queries.hint("shuffle_replicate_nl"), F.col("vec_id") != F.col("qid"))
+    scored = pairs.select("qid", "vec_id", score(F.col("q"), F.col("embedding"), metric).alias("score"))
+    return top_k(scored, k).select("qid", "rank", "vec_id", "score")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.operators.exact import exact_knn
-from lodestar.plans.tables import base_and_queries
+from lodestar.operators.exact import exact_knn, exact_knn_all
+from lodestar.plans.tables import all_and_queries, base_and_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +43,14 @@ def exact_knn_ip(spark, sf_dir):
 def exact_knn_l2(spark, sf_dir):
     base, queries = base_and_queries(spark, sf_dir)
     return exact_knn(base, queries, 10, "l2").withColumn("score", F.round("score", 6))
+
+
+# The whole table: growing queries against all rows. Tested by brute force; SQL would be too slow at larger sizes.
+@query("exact_knn_ip_all")
+def exact_knn_ip_all(spark, sf_dir):
+    return exact_knn_all(*all_and_queries(spark, sf_dir), 10, "ip").withColumn("score", F.round("score", 6))
+
+
+@query("exact_knn_l2_all")
+def exact_knn_l2_all(spark, sf_dir):
+    return exact_knn_all(*all_and_queries(spark, sf_dir), 10, "l2").withColumn("score", F.round("score", 6))

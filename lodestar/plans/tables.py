@@ -16,3 +16,9 @@ def base_and_queries(spark: SparkSession, sf_dir: str, n_queries: int = 20) -> t
     base = emb.where(F.col("vec_id") >= n_queries)
     queries = emb.where(F.col("vec_id") < n_queries).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
     return base, queries
+
+
+def all_and_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, queries): every row, and those whose vec_id is divisible by 100 as (qid, q)."""
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return emb, emb.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))

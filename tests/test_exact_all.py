@@ -1,0 +1,27 @@
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
+from lodestar.plans import registry
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_every_row_is_a_candidate(spark, metric):
+    table = pq.read_table(f"{SF}/embeddings.parquet")
+    ids = np.array(table.column("vec_id"))
+    x = np.array(table.column("embedding").to_pylist(), np.float64)
+    want = {}
+    for q in ids[ids % 100 == 0]:
+        v = x[ids == q][0]
+        scores = -(x @ v) if metric == "ip" else ((x - v) ** 2).sum(1)
+        want[q] = sorted((s, i) for s, i in zip(scores.tolist(), ids.tolist(), strict=True) if i != q)[:10]
+    frame = registry.QUERIES[f"exact_knn_{metric}_all"](spark, SF)
+    assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+    got = frame.collect()
+    assert len(got) == 10 * len(want) > 10
+    for r in got:
+        s, i = want[r.qid][r.rank - 1]
+        assert r.vec_id == i and abs(r.score - s) < 2e-6
+    assert any(r.vec_id < 20 for r in got)
