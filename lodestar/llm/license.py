@@ -1,85 +1,197 @@
-"""License scans: MinHash bands over text windows retrieve templates, exact shingle containment verifies them.
+"""License scans: texts and notices of public licenses, found by their shingles and verified by containment in a window.
 
-Words are lower-cased runs of letters and digits; sets are of five-word shingles. A window opens at every shingle that a
-template has too and is a quarter longer than the template. Each of 32 bands is one MinHash value of the template; as a band is a
-single value, a text can meet it only through a shingle with that value. A window that holds 0.8 of the
-template's shingles misses all bands with probability 0.2 ** 32 if the bands were independent; short templates have fewer
-distinct minima. A match counts if at least 0.8 of the template's shingles are in the window.
+Words are lower-cased runs of letters and digits. A template is a set of shingles: of one word below 15 words, of two below 40,
+of three in whole license texts, so that an edited word costs a small share. Windows are a quarter longer than the template. A
+window matches if it holds at least 0.8 of the template's shingles and all words that name the license: without these a notice
+would be that of another license or version. Retrieval is by exact shingles: a text that has too few of a template's shingles in
+all is not looked at further, which loses nothing.
 
-Null and empty texts have no matches. Repeated rows are scanned one by one; other columns are ignored.
+Overlapping matches of one license are one. A match goes if another license matches there that is named by the same words and
+more. Null and empty texts have no matches. Repeated rows are scanned one by one; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from dataclasses import dataclass
+from functools import lru_cache
+from importlib import resources
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import map_arrow, struct, texts_of
 
-WIDTH, BANDS, SHARE = 5, 32, 0.8
-# Names and notices of public licenses.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "MIT": "Released under the MIT License.",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-}
+SHARE = 0.8
 _WORD = re.compile(r"[^\W_]+")
-_SEEDS = np.array([xxhash.xxh3_64_intdigest(f"band {i}") | 1 for i in range(BANDS)], np.uint64)
 
 
-def shingles(words: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(" ".join(words[i : i + WIDTH])) for i in range(max(len(words) - WIDTH + 1, min(len(words), 1)))], np.uint64)
-
-
-def signatures(hashes: np.ndarray) -> np.ndarray:
-    """One row of band values per shingle; a set's signature is the least of its rows."""
-    x = (hashes[:, None] ^ (_SEEDS >> np.uint64(7))) * _SEEDS
-    return (x ^ (x >> np.uint64(32))) * _SEEDS
+@dataclass(frozen=True)
+class Template:
+    """name: words of the text that a match must have."""
+
+    license: str
+    text: str
+    name: str = ""
+
+
+# Notices of public licenses; the whole texts are in the folder licenses.
+NOTICES = (
+    Template("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache 2"),
+    Template("Apache-2.0", "Apache License 2.0", "apache license 2"),
+    Template("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache 2"),
+    Template("MIT", "Released under the MIT License.", "mit"),
+    Template("MIT", "Licensed under the MIT License.", "mit"),
+    Template("MIT", "MIT License", "mit license"),
+    Template("MIT-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    Template("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", "gnu general public 3"),
+    Template("GPL-3.0", "GNU General Public License version 3", "gnu general public 3"),
+    Template("GPL-3.0", "GNU General Public License v3.0", "gnu general public v3"),
+    Template("GPL-3.0", "GNU GPL version 3", "gpl 3"),
+    Template("GPL-3.0", "licensed under the GPLv3", "gplv3"),
+    Template("GPL-3.0", "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "gnu general public 3"),
+    Template("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", "gnu general public 2"),
+    Template("GPL-2.0", "GNU General Public License version 2", "gnu general public 2"),
+    Template("GPL-2.0", "GNU General Public License v2.0", "gnu general public v2"),
+    Template("GPL-2.0", "GNU GPL version 2", "gpl 2"),
+    Template("GPL-2.0", "licensed under the GPLv2", "gplv2"),
+    Template("GPL-2.0", "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "gnu general public 2"),
+    Template("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3", "gnu lesser general public 3"),
+    Template("LGPL-2.1", "licensed under the GNU Lesser General Public License, version 2.1", "gnu lesser general public 2 1"),
+    Template("MPL-2.0", "Mozilla Public License, version 2.0", "mozilla public 2"),
+    Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla public 2"),
+    Template("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", "cc by nc 4"),
+    Template("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "commons attribution noncommercial 4"),
+    Template("CC-BY-4.0", "Licensed under CC BY 4.0.", "cc by 4"),
+    Template("CC-BY-4.0", "Creative Commons Attribution 4.0 International License", "commons attribution 4"),
+    Template("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    Template("BSD-2-Clause", "BSD 2-Clause License", "bsd 2 clause"),
+    Template("BSD-3-Clause", "BSD 3-Clause License", "bsd 3 clause"),
+    Template("ISC", "ISC License", "isc license"),
+)
+
+
+@lru_cache(maxsize=1)
+def templates() -> tuple[Template, ...]:
+    """The notices, an SPDX line of each license, and the whole texts."""
+    files = sorted((f for f in resources.files("lodestar.llm").joinpath("licenses").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    whole = tuple(Template(f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in files)
+    names = sorted({t.license for t in NOTICES + whole} - {"BSD", "MIT-grant"})
+    tags = [f"SPDX-License-Identifier: {n}" for n in names]
+    return NOTICES + tuple(Template(n, t, t) for n, t in zip(names, tags, strict=True)) + whole
+
+
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+def width_of(words: list[str]) -> int:
+    return 1 if len(words) < 15 else 2 if len(words) < 40 else 3
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str]) -> None:
-        self.names = sorted(templates)
-        self.sets = [np.unique(shingles(_WORD.findall(templates[n].lower()))) for n in self.names]
-        self.bands = [signatures(s).min(0) for s in self.sets]
+    def __init__(self, wanted: tuple[Template, ...]) -> None:
+        lists = [words_of(t.text) for t in wanted]
+        self.licenses = [t.license for t in wanted]
+        self.names = [frozenset(words_of(t.name)) for t in wanted]
+        self.widths = [width_of(x) for x in lists]
+        self.id_of = {w: i for i, w in enumerate(sorted(set().union(*lists)), 1)}  # 0: in no template
+        keys = [self._keys(self._ids(x), w) for x, w in zip(lists, self.widths, strict=True)]
+        self.sets = [np.unique(k) for k in keys]
+        self.lengths = [len(k) + max(len(k) // 4, 1) for k in keys]
+        self.needs = [int(np.ceil(SHARE * len(s) - 1e-9)) for s in self.sets]
+        self.groups = []
+        for width in sorted(set(self.widths)):
+            members = [i for i, w in enumerate(self.widths) if w == width]
+            known = np.unique(np.concatenate([self.sets[i] for i in members]))
+            self.groups.append((width, members, known, np.stack([np.isin(known, self.sets[i]) for i in members], 1), np.array([self.needs[i] for i in members])))
+
+    def _ids(self, words: list[str]) -> np.ndarray:
+        get = self.id_of.get
+        return np.array([get(w, 0) for w in words], np.int64)
+
+    def _keys(self, ids: np.ndarray, width: int) -> np.ndarray:
+        """One number per shingle; 0 if one of its words is in no template."""
+        n = max(len(ids) - width + 1, 0)
+        key, whole = np.zeros(n, np.int64), np.ones(n, bool)
+        for i in range(width):
+            key = key * (len(self.id_of) + 1) + ids[i : i + n]
+            whole &= ids[i : i + n] > 0
+        return key * whole
 
     def __call__(self, text: str) -> list[dict]:
-        spans = [m.span() for m in _WORD.finditer(text.lower())] if text else []
-        if not spans:
+        words = words_of(text) if text else []
+        if not words:
             return []
-        words = _WORD.findall(text.lower())
-        hashes = shingles(words)
-        out = []
-        for name, wanted, band in zip(self.names, self.sets, self.bands, strict=True):
-            n = len(wanted)
-            # Bands of one value: a window can meet a band only where a shingle has that very value.
-            near = np.flatnonzero((signatures(hashes[np.isin(hashes, wanted)]) == band).any(1)) if len(hashes) else []
-            if not len(near):
+        ids, found = self._ids(words), []
+        for width, members, known, of, needs in self.groups:
+            keys = self._keys(ids, width)
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            hit = np.flatnonzero(known[at] == keys)
+            if not len(hit):
                 continue
-            places = np.flatnonzero(np.isin(hashes, wanted))
-            end = -1
-            for at in places.tolist():
-                if at <= end:
-                    continue
-                window = hashes[at : at + n + max(n // 4, 1)]
-                share = len(np.intersect1d(window, wanted)) / n
-                if share >= SHARE:
-                    last = at + int(np.flatnonzero(np.isin(window, wanted))[-1])
-                    end = last
-                    stop = min(last + WIDTH, len(spans)) - 1
-                    out.append({"license": name, "start": spans[at][0], "end": spans[stop][1], "share": float(share)})
-        return sorted(out, key=lambda m: (m["start"], m["license"]))
-
-
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            for j in np.flatnonzero(of[np.unique(at[hit])].sum(0) >= needs):
+                t = members[j]
+                if self.names[t] <= set(words):
+                    mine = hit[of[at[hit], j]]
+                    found += [(a, b + width, share, t) for a, b, share in self._windows(t, mine.tolist(), at[mine].tolist(), words)]
+        return self._merged(found, text)
+
+    def _windows(self, t: int, places: list[int], shingles: list[int], words: list[str]):
+        """(first place, last place, share) of matches that do not overlap: from where a window holds enough to where it holds most."""
+        width, name, need, length = self.widths[t], self.names[t], self.needs[t], self.lengths[t]
+        out, low, counts, best = [], 0, {}, None
+        r = 0
+        while r <= len(places):
+            if best and (r == len(places) or places[r] >= best[3] + length):
+                _, a, b, _ = best
+                inside = shingles[a : b + 1]
+                while inside.count(shingles[a]) > 1:
+                    inside.pop(0)
+                    a += 1
+                while inside.count(shingles[b]) > 1:
+                    inside.pop()
+                    b -= 1
+                out.append((places[a], places[b], best[0] / len(self.sets[t])))
+                low, counts, r, best = best[2] + 1, {}, best[2] + 1, None
+                continue
+            if r == len(places):
+                break
+            counts[shingles[r]] = counts.get(shingles[r], 0) + 1
+            while places[r] - places[low] >= length:
+                counts[shingles[low]] -= 1
+                if not counts[shingles[low]]:
+                    del counts[shingles[low]]
+                low += 1
+            if len(counts) >= need and (not best or len(counts) > best[0]) and (not name or name <= set(words[places[low] : places[r] + width])):
+                best = (len(counts), low, r, best[3] if best else places[low])
+            r += 1
+        return out
+
+    def _merged(self, found, text: str) -> list[dict]:
+        if not found:
+            return []
+        named = sorted(x for x in found if self.names[x[3]])
+        starts, reach = [x[0] for x in named], max((x[1] - x[0] for x in named), default=0)
+        over = lambda x: (y for y in named[bisect_left(starts, x[0] - reach) : bisect_left(starts, x[1])] if y[1] > x[0])
+        kept = [x for x in found if not self.names[x[3]] or not any(self.names[x[3]] < self.names[y[3]] and self.licenses[x[3]] != self.licenses[y[3]] for y in over(x))]
+        out: list[list] = []
+        last: dict[str, list] = {}
+        for a, b, share, t in sorted(kept):
+            m = last.get(self.licenses[t])
+            if m and a < m[1]:
+                m[1], m[2] = max(m[1], b), max(m[2], share)
+            else:
+                last[self.licenses[t]] = m = [a, b, share, self.licenses[t]]
+                out.append(m)
+        spans = [m.span() for m in _WORD.finditer(text.lower())]
+        return [{"license": n, "start": spans[a][0], "end": spans[b - 1][1], "share": float(share)} for a, b, share, n in sorted(out, key=lambda m: (m[0], m[3]))]
+
+
+def scan(docs: DataFrame, wanted: tuple[Template, ...] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, matches array<struct<license, start, end, share>>, one row per text; offsets in the lower-cased text."""
-    scanner = Scanner(templates)
+    scanner = Scanner(wanted or templates())
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return map_arrow(rows, lambda b: {"doc_id": b.column("doc_id"), "matches": [scanner(t) for t in texts_of(b)]}, struct(f"doc_id {docs.schema[id_col].dataType.simpleString()}, matches array<struct<license:string,start:int,end:int,share:double>>"))
