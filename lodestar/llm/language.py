@@ -2,7 +2,7 @@
 
 A word that training has seen adds its log frequency in each language. An unseen word falls back to its character
 n-grams, from the longest length down, until some of them are known. Tables come from at most `sample` labelled
-documents, those of lowest id hash among all that are not held out, counted in full on the executors.
+documents of each language, those of lowest id hash among all that are not held out, counted in full on the executors.
 
 Texts that are null or have no letter are `und` with score 0, as is everything where nothing could be learned. The score
 is the softmax of the mean evidence per word, sharpened by the square root of their number. Ties go to the smaller name. Repeated
@@ -15,7 +15,7 @@ import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import held_out, map_arrow, struct, texts_of
@@ -78,10 +78,16 @@ class Languages:
 
 def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
     taught = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    chosen = taught.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)  # bounded by `sample`, so it may be broadcast
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 40)).cast("double")
+    # Twice the sample by the hash's share first, so that no language meets in one task.
+    sizes = taught.groupBy("lang").agg(F.approx_count_distinct("id").alias("n"))
+    near = taught.select("id", "lang", place.alias("place")).join(F.broadcast(sizes), "lang").where(F.col("place") * F.col("n") <= F.lit(2.0 * sample * (1 << 40))).distinct()
+    chosen = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "id"))).where(F.col("rank") <= sample)
+    chosen = chosen.select("id", "lang", (F.col("n") < sample // 10).alias("rare"))  # at most `sample` a language, so it may be broadcast
 
     def count(batch):
         c: Counter = Counter()
+        rare = dict(zip(batch.column("lang").to_pylist(), batch.column("rare").to_pylist(), strict=True))
         for t, lang in zip(texts_of(batch), batch.column("lang").to_pylist(), strict=True):
             for w in words(t):
                 c[lang, 0, w] += 1
@@ -90,11 +96,11 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
                 for g in grams(w, n):
                     c[lang, n, g] += k
         keys = list(c)
-        return {"lang": [k[0] for k in keys], "n": [k[1] for k in keys], "s": [k[2] for k in keys], "c": [c[k] for k in keys]}
+        return {"lang": [k[0] for k in keys], "rare": [rare[k[0]] for k in keys], "n": [k[1] for k in keys], "s": [k[2] for k in keys], "c": [c[k] for k in keys]}
 
-    counted = map_arrow(taught.join(F.broadcast(chosen), "id").select("text", "lang"), count, struct("lang string, n int, s string, c long"))
-    # What was seen once says little; such words and n-grams are left to the backoff.
-    got = counted.groupBy("lang", "n", "s").agg(F.sum("c").alias("c")).where("c > 1 or n = 1").toArrow()
+    counted = map_arrow(taught.join(F.broadcast(chosen), ["id", "lang"]).select("text", "lang", "rare"), count, struct("lang string, rare boolean, n int, s string, c long"))
+    # What was seen once says little; such words and n-grams are left to the backoff, but for rare languages.
+    got = counted.groupBy("lang", "rare", "n", "s").agg(F.sum("c").alias("c")).where("c > 1 or n = 1 or rare").toArrow()
     keys = zip(*(got.column(x).to_pylist() for x in ("lang", "n", "s")), strict=True)
     return Languages(dict(zip(keys, got.column("c").to_pylist(), strict=True)))
 
