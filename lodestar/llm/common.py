@@ -45,12 +45,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+class Scratch:
+    """Writes tables to the shared folder and reads them again, which survives lost executors and ends the lineage."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.paths.append(f"{shared_folder(self.spark)}/lodestar-{uuid.uuid4().hex}")
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def delete_all_but_last(self) -> None:
+        """For a caller whose result reads nothing but the last table."""
+        for path in self.paths[:-1]:
+            delete(self.spark, path)
+        del self.paths[:-1]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read again: survives lost executors and ends the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lodestar-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """One table written to the shared folder and read again."""
+    return Scratch(df.sparkSession)(df)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,21 +1,28 @@
 """Near-duplicates from bottom-k sketches.
 
 One hash function orders all shingles. A text's sketch is the k smallest hashes of its shingle set. Texts with equal sets
-form one class from the start. Two sets of the wanted similarity share most of their sketches' values, so each class
-need only be listed under its rarest values: if c of its k values must be shared, one is among the k - c + 1 rarest. In
-each inverted list all members are held against the least and the greatest one; the links that exact Jaccard confirms
-contract the list to components. Then members outside the list's largest component meet two drawn members of it, round
-after round, so that a large group of near copies becomes one component at a cost that grows with its size. Nodes whose
-lists still meet several components get longer sketches and new lists, in which all members of different components meet,
-unless the places of their first shared value rule the similarity out. Unions of the two sketches estimate the
-similarity and drop the hopeless pairs; the full sets decide about the rest.
-
-At a similarity of 0.85 the shared part of a union sketch of 64 has a mean of 54 and a deviation below 3; 41 are asked for,
-five deviations less, by the lists and the estimate alike. Sets of up to k shingles are compared without any risk.
-
-Empty and null texts have an empty set, are linked with nothing and are all kept. Of a component one document is kept, that is
-one pair of id and text; a repeated row is judged like the first, but of rows without an id only one is kept. Null ids never
-name a component unless all its ids are null. Other columns are ignored.
+form one node from the start. Two sets of the wanted similarity share most of their sketches' values, so a node goes on only
+if enough of its values are retained by other nodes too. For the nodes that are left, few in a clean corpus, the sketch is
+extended to the whole set.
+
+Inverted lists hold each node under the rarest values of its set, as many as a similar node cannot all lack. `left`, the
+number of a node's values that come no earlier than the list's own, bounds what two members share if this is the first list
+that they share: such bounds on sizes and places rule out almost all pairs of a list within the join. Pairs that pass are
+held against the union of their sketches, an estimate, and then against their full sets, which decide.
+
+Large groups of near copies are contracted first: in each list that meets several components every other member is paired
+with the most central member of the largest component, that is the one with the fewest values of its own. This costs one
+pair for each place in a list. Only members of different components are then paired in full, so no link is lost to that.
+
+The sketches decide which nodes go on and which pairs are worth their full sets. At a similarity of 0.85 the shared part of
+a union sketch of 64 has a mean of 54 and a deviation below 3; `margin` deviations less are asked for, so a link right at the
+threshold is lost with a probability of about 1e-5. Sets of up to k shingles are compared without that risk. With margin=None
+every node goes on and every pair that the bounds allow is compared in full: the result is exact.
+
+Empty and null texts have an empty set, are linked with nothing and are all kept. Texts of any length are taken whole: a
+text's set is in the memory of one task. Links at just the threshold count. Of a component one document is kept, that is
+one pair of id and text, the one of least id; a repeated row is judged like the first, but of rows without an id only one is
+kept. Null ids never name a component unless all its ids are null. Other columns are ignored; no rows give none.
 """
 
 from __future__ import annotations
@@ -25,13 +32,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_arrow, stored, struct, texts_of
+from lodestar.llm.common import Scratch, map_arrow, struct, texts_of
 
 K = 64
-LONGER_K = 512
 MARGIN = 5
 REMEMBERED = 200_000
-ROUNDS = 2
+ROUNDS = 3
 
 
 class Shingler:
@@ -93,33 +99,92 @@ def _full_sets(texts: DataFrame, width: int) -> DataFrame:
     return map_arrow(texts.select("node", "text"), run, struct("node binary, members array<long>"))
 
 
-def _need(n: Column, percent: int, k: int) -> Column:
-    """How many values two sketches share at least, if one is of a set of n values and the sets are similar.
+def _asked(size: Column, percent: int, margin: float) -> Column:
+    """How many values of a union sketch of this size are in both sets, less so many deviations."""
+    t = percent / 100
+    return size * t - margin * F.sqrt(size * t * (1 - t))
+
 
-    Whole sets share `percent` of the larger, less what the larger one's sketch leaves out. Cut sketches share what the
-    estimate asks for: a value of the union sketch that is in both sets is in both sketches.
+def _going_on(nodes: DataFrame, percent: int, k: int, margin: float | None) -> DataFrame:
+    """The nodes that may have a similar one: enough of their sketch's values are in other nodes' sketches.
+
+    Whole sets share `percent` of the larger, less what the larger one's sketch leaves out. Of cut sketches the values that
+    the estimate asks for are in both: a value of the union sketch that is in both sets is in both sketches.
     """
+    if margin is None:
+        return nodes.select("node", "n")
     t = percent / 100
-    whole = F.least(n * t, n - F.greatest(n / t - k, F.lit(0.0)))
-    return F.ceil(F.when(n <= k, whole).otherwise(F.lit(k * t - MARGIN * (k * t * (1 - t)) ** 0.5)) - 1e-9).cast("int")
+    whole = F.least(F.col("n") * t, F.col("n") - F.greatest(F.col("n") / t - k, F.lit(0.0)))
+    need = F.ceil(F.when(F.col("n") <= k, whole).otherwise(_asked(F.lit(float(k)), percent, margin)) - 1e-9)
+    values = nodes.select("node", "n", F.explode("sketch").alias("value"))
+    shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    found = values.join(shared, "value").groupBy("node", "n").agg(F.count("*").alias("found"))
+    return found.where(F.col("found") >= need).select("node", "n")
+
+
+def inverted(sets: DataFrame, percent: int) -> DataFrame:
+    """value, node, n, left, central: every node under the rarest values of its set, as many as a similar node cannot all lack.
+
+    `left` is the number of the node's shared values that come no earlier than this one, the rarest being first; `central`
+    is the share of its values that other nodes have.
+    """
+    values = sets.select("node", F.size("members").alias("n"), F.explode("members").alias("value"))
+    shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    per_node = values.join(shared, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"))
+    need = F.floor((F.col("n") * percent + 99) / 100).cast("int")
+    listed = F.greatest(F.size("found") - need + 1, F.lit(0))
+    rows = per_node.select("node", "n", F.size("found").alias("m"), F.posexplode(F.slice("found", F.lit(1), listed)).alias("i", "x"))
+    return rows.select("x.value", "node", "n", (F.col("m") - F.col("i")).alias("left"), (F.col("m") / F.col("n")).alias("central"))
+
+
+def _open(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The lists that meet several components: each member's root, and in `main` the list's largest component and its centre."""
+    placed = lists.withColumn("root", F.col("node")) if roots is None else lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    per_root = placed.groupBy("value", "root").agg(F.count("*").alias("c"), F.max(F.struct("central", "node", "n", "left")).alias("top"))
+    main = per_root.groupBy("value").agg(F.max(F.struct("c", "top", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("value", "main")
+    return placed.join(main, "value")
+
+
+def _may_share(na: Column, nb: Column, left: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be similar if they share no more than `left` values."""
+    return ((100 + percent) * left >= percent * (na + nb)) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
 
 
-def _can_share(na: Column, nb: Column, left: Column, percent: int, k: int) -> Column:
-    """Whether sets of these sizes can be similar if no more than `left` values of one sketch are in the other."""
-    both_whole = (100 + percent) * left >= percent * (na + nb)
-    one_cut = left >= F.greatest(_need(na, percent, k), _need(nb, percent, k))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & F.when(F.greatest(na, nb) <= k, both_whole).otherwise(one_cut)
+def _to_centres(open_lists: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of the main component's centre and each member of another component."""
+    others = open_lists.where("root <> main.root")
+    near = others.where(_may_share(F.col("n"), F.col("main.top.n"), F.least("left", "main.top.left"), percent))
+    return near.select(F.least("node", "main.top.node").alias("a"), F.greatest("node", "main.top.node").alias("b")).distinct()
 
 
-def _hopeful(pairs: DataFrame, nodes: DataFrame, percent: int, k: int) -> DataFrame:
-    """Pairs whose sketches do not rule the similarity out: sizes first, then the share of the union sketch in both."""
+def _across(open_lists: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of members of different components that the bounds allow, one of them outside the main component.
+
+    The smaller set of a pair shares more than half of the threshold's twofold with the larger, so it needs a shorter part of its
+    list places; classes of size, one step of the threshold each, are part of the key.
+    """
+    step = float(np.log(100 / percent))
+    size_class = F.floor(F.log("n") / step + 1e-9).cast("int")
+    rows = open_lists.select("value", "node", "n", "left", "root", (F.col("root") == F.col("main.root")).alias("in_main"), size_class.alias("size_class"))
+    low = rows.where((100 + percent) * F.col("left") >= 2 * percent * F.col("n"))
+    low = low.select("value", F.explode(F.array("size_class", F.col("size_class") + 1)).alias("size_class"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("root").alias("ra"), F.col("in_main").alias("ma"))
+    high = rows.select("value", "size_class", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("root").alias("rb"), F.col("in_main").alias("mb"))
+    fits = (F.col("ra") != F.col("rb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") != F.col("b")))) & _may_share(F.col("na"), F.col("nb"), F.least("la", "lb"), percent)
+    outside = low.where("not ma").join(high, ["value", "size_class"]).where(fits)
+    inside = low.where("ma").join(high.where("not mb"), ["value", "size_class"]).where(fits)
+    return outside.unionByName(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _hopeful(pairs: DataFrame, nodes: DataFrame, percent: int, k: int, margin: float | None) -> DataFrame:
+    """Pairs whose union sketch does not rule the similarity out by its share of values in both."""
+    if margin is None:
+        return pairs
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    df = pairs.join(b, "b").join(a, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    df = pairs.join(b, "b").join(a, "a")
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    size, t = F.size(union), percent / 100
-    return df.where((both + MARGIN * F.sqrt(size * t * (1 - t)) >= size * t) | (F.greatest("na", "nb") <= k)).select("a", "b")
+    return df.where((both >= _asked(F.size(union), percent, margin)) | (F.greatest("na", "nb") <= k)).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -129,10 +194,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return df.where(100 * shared >= percent * (F.size("ma") + F.size("mb") - shared)).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, stored: Scratch) -> DataFrame:
     """(node, root): alternating large and small stars until the stars stay; root is the least node of the component.
 
-    Every pass is a grouped minimum and a join, so no component meets in one task. Nodes without links are absent.
+    Every pass is a grouped minimum and a join. Nodes without links are absent.
     """
     a, b = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     edges = stored(links.where("a <> b").select(a, b).distinct())
@@ -151,79 +216,42 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def inverted(nodes: DataFrame, percent: int, k: int) -> DataFrame:
-    """node, n, left, value: every node under the rarest values of its sketch, as many as a similar node cannot all lack.
-
-    `left` is the number of the node's values that come no earlier than this one, the rarest being first.
-    """
-    values = nodes.select("node", "n", F.explode("sketch").alias("value"))
-    shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    per_node = values.join(shared, "value").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"))
-    size = F.least("n", F.lit(k))
-    alone = size - F.size("found")
-    listed = F.greatest(size - _need(F.col("n"), percent, k) + 1 - alone, F.lit(0)).cast("int")
-    rows = per_node.select("node", "n", F.size("found").alias("m"), F.posexplode(F.slice("found", F.lit(1), listed)).alias("i", "x"))
-    return rows.select("node", "n", (F.col("m") - F.col("i")).cast("int").alias("left"), "x.value")
-
-
-def _with_roots(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """The inverted lists that meet several components, with each member's root and the list's commonest, `main`."""
-    placed = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    main = placed.groupBy("value", "root").agg(F.count("*").alias("c")).groupBy("value").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    return placed.join(main, "value").select("value", "node", "n", "left", "root", "main")
-
-
-def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, k: int = K, margin: float | None = MARGIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: texts linked where 100 * shared >= percent * united shingles."""
-    return judged(docs, width, percent, k, id_col, text_col).drop("digest")
+    return judged(docs, width, percent, k, margin, id_col, text_col).drop("digest")
 
 
-def judged(docs: DataFrame, width: int, percent: int, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """near_duplicates with the digest of each row's text."""
+def judged(docs: DataFrame, width: int, percent: int, k: int = K, margin: float | None = MARGIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """near_duplicates with the digest of each row's text. The folder that the result reads stays; the others are deleted."""
+    stored = Scratch(docs.sparkSession)
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = stored(sketches(named, width, k).withColumn("row", F.monotonically_increasing_id()))
     nodes = stored(rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "row")).alias("best"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
 
-    lists = stored(inverted(nodes, percent, k))
-
-    ends = lists.groupBy("value").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    met = lists.join(ends, "value")
-    first = met.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("high").alias("a"), F.col("node").alias("b")))).alias("p")).select("p.a", "p.b").where("a <> b").distinct()
-    hopeful = stored(_hopeful(first, nodes, percent, k))
-
-    wanted = lists.select("node").distinct()
-    chosen = nodes.join(wanted, "node").select("node", F.col("best.doc_id").alias("c_id"), F.col("best.digest").alias("c_digest"))
+    going = _going_on(nodes, percent, k, margin).select("node")
+    chosen = nodes.join(going, "node").select("node", F.col("best.doc_id").alias("c_id"), F.col("best.digest").alias("c_digest"))
     texts = named.join(chosen, F.col("doc_id").eqNullSafe(F.col("c_id")) & (digest(F.col("text")) == F.col("c_digest"))).select("node", "text")
     sets = stored(_full_sets(texts, width).where("members is not null").dropDuplicates(["node"]))
-    links = stored(_confirmed(hopeful, sets, percent))
-
-    roots = components(links)
-    for turn in range(ROUNDS):
-        open_lists = _with_roots(lists, roots)
-        drawn = F.struct(F.xxhash64("node", F.lit(turn)), "node")
-        anchors = open_lists.where("root = main").groupBy("value").agg(F.min(drawn)["node"].alias("low"), F.max(drawn)["node"].alias("high"))
-        others = open_lists.where("root <> main").join(anchors, "value")
-        pairs = others.select(F.explode(F.array("low", "high")).alias("a"), F.col("node").alias("b")).distinct()
-        found = stored(_confirmed(_hopeful(pairs, nodes, percent, k), sets, percent))
+    lists = stored(inverted(sets, percent))
+
+    links = roots = None
+    for _ in range(ROUNDS):
+        found = stored(_confirmed(_hopeful(_to_centres(_open(lists, roots), percent), nodes, percent, k, margin), sets, percent))
         if found.isEmpty():
             break
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
-
-    unsettled = _with_roots(lists, roots).select("node").distinct()
-    longer = stored(sets.join(unsettled, "node").select("node", F.size("members").cast("bigint").alias("n"), F.slice("members", 1, LONGER_K).alias("sketch")))
-    placed = stored(_with_roots(inverted(longer, percent, LONGER_K), roots))
-    x = placed.where("root <> main").select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("root").alias("ra"))
-    y = placed.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("root").alias("rb"), "main")
-    # The first value that two sketches share is the one at which `left` bounds what they share.
-    second = x.join(y, "value").where("ra <> rb and (rb = main or a < b)").where(_can_share(F.col("na"), F.col("nb"), F.least("la", "lb"), percent, LONGER_K))
-    second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = stored(_confirmed(_hopeful(second, nodes, percent, k), sets, percent))
-
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    named_nodes = nodes.select("node", "best").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        links = found if links is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
+        roots = components(links, stored)
+    more = stored(_confirmed(_hopeful(_across(_open(lists, roots), percent), nodes, percent, k, margin), sets, percent))
+    if not more.isEmpty():
+        roots = components(more if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), stored)
+
+    named_nodes = nodes.select("node", "best") if roots is None else nodes.select("node", "best").join(roots, "node", "left")
+    named_nodes = named_nodes.withColumn("root", F.lit(None).cast("binary") if roots is None else F.col("root")).withColumn("root", F.coalesce("root", "node"))
     names = named_nodes.groupBy("root").agg(F.min("best").alias("best"))
     ids = named_nodes.drop("best").join(names, "root").select("node", "best")
     out = rows.drop("sketch").join(ids, "node", "left")
     # Without words (no best) a row is kept.
     same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest")) & (F.col("doc_id").isNotNull() | (F.col("row") == F.col("best.row")))
-    return out.select("doc_id", "digest", "n_shingles", F.coalesce("best.doc_id", "doc_id").alias("component_id"), (F.col("best").isNull() | same).alias("kept"))
+    out = stored(out.select("doc_id", "digest", "n_shingles", F.coalesce("best.doc_id", "doc_id").alias("component_id"), (F.col("best").isNull() | same).alias("kept")))
+    stored.delete_all_but_last()
+    return out
