@@ -25,8 +25,13 @@ def sqnorm(a: Column, kind: str = "double") -> Column:
     return _fold(F.transform(a, lambda x: x.cast(kind) * x.cast(kind)), kind)
 
 
-def score(a: Column, b: Column, metric: str, kind: str = "double") -> Column:
-    """Smaller is better under either metric: squared L2, or minus the inner product."""
-    if metric not in ("ip", "l2"):
-        raise ValueError(f"metric must be 'ip' or 'l2', not {metric!r}")
-    return -dot(a, b, kind) if metric == "ip" else l2(a, b, kind)
+def quantise(x: Column, top: float) -> Column:
+    """int8 codes under one global scale, halves away from zero."""
+    return F.transform(x, lambda v: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.round(v.cast("double") * 127 / F.lit(top)))).cast("tinyint"))
+
+
+def unit(x: Column, mean: list[float], length: float = 1.0) -> Column:
+    """Centred, of the given length; the norm counts as at least 1e-9."""
+    c = F.zip_with(x, F.array(*map(F.lit, mean)), lambda v, m: v.cast("double") - m)
+    norm = F.greatest(F.sqrt(sqnorm(c)), F.lit(1e-9))
+    return F.zip_with(c, F.array_repeat(norm, len(mean)), lambda v, n: length * (v / n))

@@ -2,55 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lodestar.operators.exact import exact_knn, exact_knn_all
-from lodestar.plans.tables import all_and_queries, base_and_queries
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Decorator: registers a query under a name, with its oracle if there is one."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-BASE_SQL = "base as (select vec_id, embedding from embeddings where vec_id >= 20), queries as (select vec_id as qid, embedding as q from embeddings where vec_id < 20)"
-
-
-def _knn_sql(score: str) -> str:
-    return f"with {BASE_SQL}, s as (select qid, vec_id, {score} as score from base, queries), r as (select *, row_number() over (partition by qid order by score, vec_id) as rank from s) select qid, cast(rank as integer) as rank, vec_id, round(score, 6) as score from r where rank <= 10"
-
-
-@query("exact_knn_ip", _knn_sql("-list_sum(list_transform(list_zip(q, embedding), lambda p: p[1]::double * p[2]::double))"))
-def exact_knn_ip(spark, sf_dir):
-    base, queries = base_and_queries(spark, sf_dir)
-    return exact_knn(base, queries, 10, "ip").withColumn("score", F.round("score", 6))
-
-
-@query("exact_knn_l2", _knn_sql("list_sum(list_transform(list_zip(q, embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double)))"))
-def exact_knn_l2(spark, sf_dir):
-    base, queries = base_and_queries(spark, sf_dir)
-    return exact_knn(base, queries, 10, "l2").withColumn("score", F.round("score", 6))
-
-
-# The whole table: growing queries against all rows. Tested by brute force; SQL would be too slow at larger sizes.
-@query("exact_knn_ip_all")
-def exact_knn_ip_all(spark, sf_dir):
-    return exact_knn_all(*all_and_queries(spark, sf_dir), 10, "ip").withColumn("score", F.round("score", 6))
-
-
-@query("exact_knn_l2_all")
-def exact_knn_l2_all(spark, sf_dir):
-    return exact_knn_all(*all_and_queries(spark, sf_dir), 10, "l2").withColumn("score", F.round("score", 6))
+from lodestar.plans import codes, routes, searches, vectors  # noqa: F401
+from lodestar.plans.catalog import ORACLES, QUERIES, query  # noqa: F401

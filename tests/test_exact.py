@@ -1,3 +1,5 @@
+"""Every query with an oracle against its SQL."""
+
 import duckdb
 import pytest
 
@@ -12,4 +14,5 @@ def test_same_as_sql(spark, name):
     db.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
     frame = registry.QUERIES[name](spark, SF)
     want = db.execute(f"select {', '.join(frame.columns)} from ({registry.ORACLES[name]})").fetchall()
-    assert sorted(map(tuple, frame.collect())) == sorted(want)
+    got = sorted(map(tuple, frame.collect()))
+    assert got == sorted(want) and got
