@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from lodestar.plans import codes, routes, searches, vectors  # noqa: F401
+from lodestar.plans import codes, graphs, routes, searches, updates, vectors  # noqa: F401
 from lodestar.plans.catalog import ORACLES, QUERIES, query  # noqa: F401
