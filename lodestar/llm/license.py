@@ -1,13 +1,21 @@
-"""License scans: texts and notices of public licenses, found by their shingles and verified by containment in a window.
+"""License scans: texts and notices of public licenses, found by MinHash bands of windows and verified by containment.
 
-Words are lower-cased runs of letters and digits. A template is a set of shingles: of one word below 15 words, of two below 40,
-of three in whole license texts, so that an edited word costs a small share. Windows are a quarter longer than the template. A
-window matches if it holds at least 0.8 of the template's shingles and all words that name the license: without these a notice
-would be that of another license or version. Retrieval is by exact shingles: a text that has too few of a template's shingles in
-all is not looked at further, which loses nothing.
+Words are runs of letters and digits, lower-cased. A template is a set of shingles: of one word below 15 words, of two below 40,
+of three in whole license texts, so that an edited word costs a small share. A match is a stretch, a quarter longer than the
+template at most, that holds at least 0.8 of the template's shingles and all words that name the license: without these a
+notice would be that of another license or version. A copy with more words put in than that quarter is not found.
+
+Templates of one shingle width and of sizes within a factor of two are retrieved together. A text is cut into overlapping
+windows, twice as long as the longest match and half a window apart, so each match lies whole in one. Of a window's shingles
+those that are in any template of the group are kept and sketched by BANDS minima under as many orders. Each minimum is a band of
+one row, looked up in a table of the templates' minima. A window that holds a match has at most 5 times the template's
+shingles, so its Jaccard similarity with the template is at least 0.8 / 5.2 and none of 128 bands collides with a probability
+below 1e-9. Templates retrieved for a window are verified there by their exact shingles.
 
 Overlapping matches of one license are one. A match goes if another license matches there that is named by the same words and
-more. Null and empty texts have no matches. Repeated rows are scanned one by one; other columns are ignored.
+more. Null and empty texts have no matches. Of two equally good places in a stretch the first counts. Texts of any length are
+scanned whole, in memory that grows with their words. Repeated rows are scanned one by one; other columns are ignored; no rows
+give none.
 """
 
 from __future__ import annotations
@@ -25,6 +33,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import map_arrow, struct, texts_of
 
 SHARE = 0.8
+BANDS = 128
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -84,13 +93,63 @@ def templates() -> tuple[Template, ...]:
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    low = text.lower()
+    if len(low) == len(text):
+        return _WORD.findall(low)
+    return [w.lower() for w in _WORD.findall(text)]
 
 
 def width_of(words: list[str]) -> int:
     return 1 if len(words) < 15 else 2 if len(words) < 40 else 3
 
 
+class Group:
+    """Templates that are retrieved from the same windows."""
+
+    def __init__(self, scanner: Scanner, width: int, members: list[int]) -> None:
+        self.width, self.members = width, members
+        self.known = np.unique(np.concatenate([scanner.sets[i] for i in members]))
+        self.of = np.stack([np.isin(self.known, scanner.sets[i]) for i in members], 1)
+        self.step = max(scanner.lengths[i] for i in members)
+        r = np.random.default_rng(len(self.known))
+        #: The place of each known shingle in each band's order.
+        self.place = np.argsort(r.random((len(self.known), BANDS)), 0).astype(np.int32)
+        #: Which members have the shingle at that place as their minimum.
+        self.table = np.zeros((BANDS, len(self.known), len(members)), bool)
+        for j in range(len(members)):
+            self.table[np.arange(BANDS), self.place[self.of[:, j]].min(0), j] = True
+        self.any = self.table.any(2)
+
+    def hits(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of known shingles and their numbers."""
+        at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+        hit = np.flatnonzero(self.known[at] == keys)
+        return hit, at[hit]
+
+    def retrieved(self, hit: np.ndarray, at: np.ndarray):
+        """(member, [(first hit, end)]): windows whose sketch shares a band with the member's, those that overlap as one."""
+        if not len(hit):
+            return
+        starts = np.unique(np.concatenate([hit // self.step, np.maximum(hit // self.step - 1, 0)]))
+        low, high = np.searchsorted(hit, starts * self.step), np.searchsorted(hit, (starts + 2) * self.step)
+        full = high > low
+        low, high = low[full], high[full]
+        candidates = np.zeros((len(low), len(self.members)), bool)
+        for i in range(0, len(low), 256):
+            a, b = low[i : i + 256], high[i : i + 256]
+            minima = np.stack([self.place[at[x:y]].min(0) for x, y in zip(a, b, strict=True)])
+            w, band = np.nonzero(self.any[np.arange(BANDS), minima])
+            np.logical_or.at(candidates, i + w, self.table[band, minima[w, band]])
+        for j in np.flatnonzero(candidates.any(0)):
+            ranges: list[list[int]] = []
+            for x, y in zip(low[candidates[:, j]].tolist(), high[candidates[:, j]].tolist(), strict=True):
+                if ranges and x <= ranges[-1][1]:
+                    ranges[-1][1] = max(y, ranges[-1][1])
+                else:
+                    ranges.append([x, y])
+            yield j, ranges
+
+
 class Scanner:
     def __init__(self, wanted: tuple[Template, ...]) -> None:
         lists = [words_of(t.text) for t in wanted]
@@ -102,11 +161,8 @@ class Scanner:
         self.sets = [np.unique(k) for k in keys]
         self.lengths = [len(k) + max(len(k) // 4, 1) for k in keys]
         self.needs = [int(np.ceil(SHARE * len(s) - 1e-9)) for s in self.sets]
-        self.groups = []
-        for width in sorted(set(self.widths)):
-            members = [i for i, w in enumerate(self.widths) if w == width]
-            known = np.unique(np.concatenate([self.sets[i] for i in members]))
-            self.groups.append((width, members, known, np.stack([np.isin(known, self.sets[i]) for i in members], 1), np.array([self.needs[i] for i in members])))
+        classes = [(w, len(x).bit_length()) for w, x in zip(self.widths, self.sets, strict=True)]
+        self.groups = [Group(self, width, [i for i, c in enumerate(classes) if c == (width, size)]) for width, size in sorted(set(classes))]
 
     def _ids(self, words: list[str]) -> np.ndarray:
         get = self.id_of.get
@@ -125,18 +181,19 @@ class Scanner:
         words = words_of(text) if text else []
         if not words:
             return []
-        ids, found = self._ids(words), []
-        for width, members, known, of, needs in self.groups:
-            keys = self._keys(ids, width)
-            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            hit = np.flatnonzero(known[at] == keys)
-            if not len(hit):
-                continue
-            for j in np.flatnonzero(of[np.unique(at[hit])].sum(0) >= needs):
-                t = members[j]
-                if self.names[t] <= set(words):
-                    mine = hit[of[at[hit], j]]
-                    found += [(a, b + width, share, t) for a, b, share in self._windows(t, mine.tolist(), at[mine].tolist(), words)]
+        ids, found, there, keys_of = self._ids(words), [], None, {}
+        for group in self.groups:
+            width = group.width
+            if width not in keys_of:
+                keys_of[width] = self._keys(ids, width)
+            hit, at = group.hits(keys_of[width])
+            for j, ranges in group.retrieved(hit, at):
+                t = group.members[j]
+                there = there or set(words)
+                if self.names[t] <= there:
+                    for low, high in ranges:
+                        mine = np.flatnonzero(group.of[at[low:high], j]) + low
+                        found += [(a, b + width, share, t) for a, b, share in self._windows(t, hit[mine].tolist(), at[mine].tolist(), words)]
         return self._merged(found, text)
 
     def _windows(self, t: int, places: list[int], shingles: list[int], words: list[str]):
@@ -186,12 +243,12 @@ class Scanner:
             else:
                 last[self.licenses[t]] = m = [a, b, share, self.licenses[t]]
                 out.append(m)
-        spans = [m.span() for m in _WORD.finditer(text.lower())]
+        spans = [m.span() for m in _WORD.finditer(text)]
         return [{"license": n, "start": spans[a][0], "end": spans[b - 1][1], "share": float(share)} for a, b, share, n in sorted(out, key=lambda m: (m[0], m[3]))]
 
 
 def scan(docs: DataFrame, wanted: tuple[Template, ...] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, matches array<struct<license, start, end, share>>, one row per text; offsets in the lower-cased text."""
+    """doc_id, matches array<struct<license, start, end, share>>, one row per text; offsets in characters of the text."""
     scanner = Scanner(wanted or templates())
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return map_arrow(rows, lambda b: {"doc_id": b.column("doc_id"), "matches": [scanner(t) for t in texts_of(b)]}, struct(f"doc_id {docs.schema[id_col].dataType.simpleString()}, matches array<struct<license:string,start:int,end:int,share:double>>"))
