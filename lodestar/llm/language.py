@@ -4,9 +4,13 @@ A word that training has seen adds its log frequency in each language. An unseen
 n-grams, from the longest length down, until some of them are known. Tables come from at most `sample` labelled
 documents of each language, those of lowest id hash among all that are not held out, counted in full on the executors.
 
+What was seen once says little: such words and n-grams are left out of the tables, but for languages of few documents. A
+document counts once, however often its row is repeated, so the tables are bounded by the sample's texts.
+
 Texts that are null or have no letter are `und` with score 0, as is everything where nothing could be learned. The score
 is the softmax of the mean evidence per word, sharpened by the square root of their number. Ties go to the smaller name. Repeated
-rows are judged alike; rows with null lang teach nothing; documents with null ids are held out.
+rows are judged alike; rows with null lang teach nothing; documents with null ids are held out. Texts of any length are read
+whole, in memory that grows with their words; no rows give none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +29,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters, lower-cased; digits, fractions and number signs are none."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -45,7 +53,8 @@ class Languages:
         for (lang, n, s), c in counts.items():
             self.logs[n][self.rows[n][s], at[lang]] += c
         self.logs = [np.log((m + 0.1) / (m.sum(0) + 0.1 * (len(m) + 1))).astype(np.float32) for m in self.logs]
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, int] = {}
+        self.matrix = np.zeros((1024, len(at)))
 
     def evidence(self, word: str) -> np.ndarray:
         row = self.rows[0].get(word)
@@ -61,15 +70,17 @@ class Languages:
         counted = Counter(words(text)) if self.names else None
         if not counted:
             return "und", 0.0
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        total, n = np.zeros(len(self.names)), 0
-        for w, c in counted.items():
-            v = self.known.get(w)
-            if v is None:
-                v = self.known[w] = self.evidence(w)
-            total += c * v
-            n += c
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        for w in counted:
+            if w not in known:
+                if len(known) == len(self.matrix):
+                    self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+                self.matrix[len(known)] = self.evidence(w)
+                known[w] = len(known)
+        times = np.fromiter(counted.values(), np.float64, len(counted))
+        total, n = times @ self.matrix[[known[w] for w in counted]], times.sum()
         z = (total - total.max()) / n * max(np.sqrt(n), 1.0)
         p = np.exp(z) / np.exp(z).sum()
         k = int(np.argmax(p))
@@ -78,12 +89,14 @@ class Languages:
 
 def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
     taught = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 40)).cast("double")
+    # A repeated row counts once, whatever its id.
+    taught = taught.withColumn("key", F.xxhash64("id", "text"))
+    place = F.pmod("key", F.lit(1 << 40)).cast("double")
     # Twice the sample by the hash's share first, so that no language meets in one task.
-    sizes = taught.groupBy("lang").agg(F.approx_count_distinct("id").alias("n"))
-    near = taught.select("id", "lang", place.alias("place")).join(F.broadcast(sizes), "lang").where(F.col("place") * F.col("n") <= F.lit(2.0 * sample * (1 << 40))).distinct()
-    chosen = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "id"))).where(F.col("rank") <= sample)
-    chosen = chosen.select("id", "lang", (F.col("n") < sample // 10).alias("rare"))  # at most `sample` a language, so it may be broadcast
+    sizes = taught.groupBy("lang").agg(F.approx_count_distinct("key").alias("n"))
+    near = taught.select("key", "lang", place.alias("place")).join(sizes, "lang").where(F.col("place") * F.col("n") <= F.lit(2.0 * sample * (1 << 40))).distinct()
+    chosen = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "key"))).where(F.col("rank") <= sample)
+    chosen = chosen.select("key", "lang", (F.col("n") < sample // 10).alias("rare"))
 
     def count(batch):
         c: Counter = Counter()
@@ -98,8 +111,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
         keys = list(c)
         return {"lang": [k[0] for k in keys], "rare": [rare[k[0]] for k in keys], "n": [k[1] for k in keys], "s": [k[2] for k in keys], "c": [c[k] for k in keys]}
 
-    counted = map_arrow(taught.join(F.broadcast(chosen), ["id", "lang"]).select("text", "lang", "rare"), count, struct("lang string, rare boolean, n int, s string, c long"))
-    # What was seen once says little; such words and n-grams are left to the backoff, but for rare languages.
+    counted = map_arrow(taught.join(chosen, ["key", "lang"]).dropDuplicates(["key", "lang"]).select("text", "lang", "rare"), count, struct("lang string, rare boolean, n int, s string, c long"))
     got = counted.groupBy("lang", "rare", "n", "s").agg(F.sum("c").alias("c")).where("c > 1 or n = 1 or rare").toArrow()
     keys = zip(*(got.column(x).to_pylist() for x in ("lang", "n", "s")), strict=True)
     return Languages(dict(zip(keys, got.column("c").to_pylist(), strict=True)))
