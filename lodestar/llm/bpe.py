@@ -4,6 +4,9 @@ Each new word is cut greedily into the longest tokens. Vectorised checks then te
 that exact merging would have made across their border; words that pass have their exact encoding already, as tokens
 stay whole and no border is crossed. Only words that fail are merged exactly. Words are remembered up to a bound.
 
+Exact merging of a word of n characters takes n log n steps, so very long words and texts are encoded whole; a text and its
+tokens are in the memory of one task. Equal rules are applied from the left. No rows give none.
+
 Null texts count as empty: no tokens, empty decoded text. Special strings in a text become their ids. Repeated rows are
 encoded one by one; other columns pass through `tokenise` untouched, and clashing columns are replaced by its own.
 """
@@ -11,6 +14,7 @@ encoded one by one; other columns pass through `tokenise` untouched, and clashin
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 
@@ -85,23 +89,27 @@ class Bpe:
         self.failed = 0
 
     def merged(self, ids: list[int]) -> list[int]:
-        """Exact merging: the earliest rule first, from the left."""
-        ids = list(ids)
-        while len(ids) > 1:
-            best = min((self.merge_of.get(p, (NEVER, 0))[0], i) for i, p in enumerate(zip(ids, ids[1:])))
-            if best[0] == NEVER:
-                break
-            rule, out, i = best[0], [], 0
-            while i < len(ids):
-                found = self.merge_of.get((ids[i], ids[i + 1])) if i + 1 < len(ids) else None
-                if found and found[0] == rule:
-                    out.append(found[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
+        """Exact merging: the earliest rule first, from the left; pairs wait in a heap and parts in a linked list."""
+        ids, n = list(ids), len(ids)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        rule = self.merge_of
+        waiting = [(found[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (found := rule.get((ids[i], ids[i + 1])))]
+        heapq.heapify(waiting)
+        while waiting:
+            _, i, x, y = heapq.heappop(waiting)
+            j = after[i]
+            if j < 0 or ids[i] != x or ids[j] != y:
+                continue  # one of the two has been used up
+            ids[i], ids[j] = rule[x, y][1], -1
+            after[i] = k = after[j]
+            after[j] = -1
+            if k >= 0:
+                before[k] = i
+                if found := rule.get((ids[i], ids[k])):
+                    heapq.heappush(waiting, (found[0], i, ids[i], ids[k]))
+            if (h := before[i]) >= 0 and (found := rule.get((ids[h], ids[i]))):
+                heapq.heappush(waiting, (found[0], h, ids[h], ids[i]))
+        return [i for i in ids if i >= 0]
 
     def base(self, word: str) -> list[int]:
         data = word.encode()
