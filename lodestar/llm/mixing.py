@@ -6,7 +6,9 @@ integer that its interval crosses. The order is by class of size and then by has
 the words taken come close to the target.
 
 Sums over a source never meet in one task: documents are summed within (source, size class, hash prefix) blocks, and
-only one count per block is gathered by source. Null texts have size 0 and are taken 0 words; a null source is a source
+only one count per block is summed up along a source: at most 256 blocks for each of some 4 classes per
+doubling of size, whatever the source's rows. Within a block, documents are ordered by hash and then by id. Texts of any length
+are measured whole. Null texts have size 0 and are taken 0 words; a null source is a source
 of its own, after the others; no rows give no rows. Repeated rows are separate documents. Extra columns are ignored.
 """
 
@@ -67,10 +69,10 @@ def mixed(df: DataFrame, seed: str) -> DataFrame:
     df = df.withColumn("size_class", (F.length(digits) * 4 + F.conv(F.rpad(F.substring(digits, 2, 2), 2, "0"), 2, 10).cast("int")).cast("int"))
     df = df.withColumn("prefix", F.substring("h", 1, 2))
     blocks = df.groupBy("source", "size_class", "prefix").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    per_source = blocks.groupBy("source").agg(F.sum("n").alias("n_docs"), F.sum("words").alias("source_size"), F.sort_array(F.collect_list(F.struct("size_class", "prefix", "n"))).alias("blocks"))
-    shares = targets(per_source.select("source", "source_size", "n_docs"))
-    started = per_source.select("source", F.aggregate("blocks", F.struct(F.lit(0).cast("bigint").alias("end"), F.array().cast("array<struct<size_class:int,prefix:string,start:bigint>>").alias("out")), lambda s, b: F.struct((s["end"] + b["n"]).alias("end"), F.concat(s["out"], F.array(F.struct(b["size_class"].alias("size_class"), b["prefix"].alias("prefix"), s["end"].alias("start")))).alias("out")))["out"].alias("out"))
-    starts = started.select("source", F.inline("out"))
+    per_source = blocks.groupBy("source").agg(F.sum("n").alias("n_docs"), F.sum("words").alias("source_size"))
+    shares = targets(per_source)
+    earlier = Window.partitionBy("source").orderBy("size_class", "prefix").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("source", "size_class", "prefix", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
     s, t, d = starts.alias("s"), shares.alias("t"), df.alias("d")
     info = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select(F.col("s.source").alias("b_source"), F.col("s.size_class").alias("b_class"), F.col("s.prefix").alias("b_prefix"), "start", "source_size", "target", "n_docs")
     w = Window.partitionBy("source", "size_class", "prefix").orderBy("h", "doc_id")
