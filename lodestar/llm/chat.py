@@ -2,7 +2,7 @@
 
 A turn's text may be JSON: `{"tool_calls": [{"id", "name", "arguments"}, ..]}` of an assistant, `{"tool_call_id",
 "content"}` of a tool. Calls and results are joined by conversation and identifier. A result never stands before its call:
-its place is the later of its own turn and its call's, after the call. Content beside calls is a message of its own before
+its place is the later of its own turn and its call's, after all calls of that turn. Content beside calls is a message of its own before
 them, at step -1. Arguments must have every required field of the tool's schema with a value of its JSON type. One row per
 message, so that no conversation meets in one task; `place` and `step` order them.
 
@@ -56,9 +56,9 @@ def format_chat(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     df = df.withColumn("j", F.when(shaped, F.from_json("text", _CALLS)))
     is_calls = F.coalesce((F.col("role") == "assistant") & (F.size("j.tool_calls") > 0), F.lit(False))
     is_result = F.coalesce((F.col("role") == "tool") & F.col("j.tool_call_id").isNotNull(), F.lit(False))
-    calls = df.where(is_calls).select("conv_id", "turn", "role", F.posexplode("j.tool_calls").alias("i", "c"))
-    calls = calls.select("conv_id", "turn", "role", "i", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"))
-    first = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "i")).alias("at")).select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_id"), F.col("at.turn").alias("k_turn"), F.col("at.i").alias("k_i"))
+    calls = df.where(is_calls).select("conv_id", "turn", "role", F.size("j.tool_calls").alias("n_calls"), F.posexplode("j.tool_calls").alias("i", "c"))
+    calls = calls.select("conv_id", "turn", "role", "n_calls", "i", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"))
+    first = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "i", "n_calls")).alias("at")).select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_id"), F.col("at.turn").alias("k_turn"), (F.col("at.i") + F.col("at.n_calls")).alias("k_step"))
     results = df.where(is_result).select("conv_id", "turn", "role", F.col("j.tool_call_id").alias("call_id"), "j.content")
     results = results.join(first, (F.col("conv_id") == F.col("k_conv")) & (F.col("call_id") == F.col("k_id")), "left")
     answered = df.where(is_result).select(F.col("conv_id").alias("r_conv"), F.col("j.tool_call_id").alias("r_id")).distinct()
@@ -71,5 +71,5 @@ def format_chat(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     written = lambda arguments: F.to_json(F.struct("role", F.col("call_id").alias("id"), "name", F.col(arguments).alias("arguments")), keep)
     called = calls.select("conv_id", "turn", F.col("turn").alias("place"), F.col("i").alias("step"), "role", "call_id", F.col("r_id").isNotNull().alias("linked"), "valid", F.when(F.col("typed").isNotNull(), written("typed")).otherwise(written("arguments")).alias("message"))
     place = F.greatest("turn", "k_turn")
-    returned = results.select("conv_id", "turn", place.alias("place"), F.when(F.col("k_turn") >= F.col("turn"), 1_000_000 + F.col("k_i")).otherwise(0).alias("step"), "role", "call_id", F.col("k_id").isNotNull().alias("linked"), none.cast("boolean").alias("valid"), F.to_json(F.struct("role", F.col("call_id").alias("tool_call_id"), "content"), keep).alias("message"))
+    returned = results.select("conv_id", "turn", place.alias("place"), F.when(F.col("k_turn") >= F.col("turn"), F.col("k_step")).otherwise(0).alias("step"), "role", "call_id", F.col("k_id").isNotNull().alias("linked"), none.cast("boolean").alias("valid"), F.to_json(F.struct("role", F.col("call_id").alias("tool_call_id"), "content"), keep).alias("message"))
     return plain.unionByName(beside).unionByName(called).unionByName(returned)
