@@ -2,12 +2,14 @@
 
 Rows go to shards by hash, so no value can fill a shard; each shard keeps one graph whose layers are flat arrays of
 neighbours. Points enter in growing batches and queries walk in lock step, so that every step is one array operation for
-all of them. Blocks of queries meet each shard's stored graph, and the shards' results are merged by rank.
+all of them. Blocks of queries pass by each shard's graph, which is read once for every SLICE blocks, and the shards' results
+are merged by rank. Every query is asked of every shard, so the work at a fixed share of queries grows with the square of the rows.
 
 Equal vectors of a shard are one point of the graph and are expanded to their ids at the end, smallest first. Vectors that
 are null, zero or hold null or non-finite components take no part, as rows or as queries; rows without an id neither.
 Vectors meet only those of their own length. Scores are cosines of the original vectors in double precision; ties go to
-the smaller id. Repeated rows are separate candidates. Empty tables give no rows; other columns are ignored.
+the smaller id. Repeated rows are separate candidates; a query's own row is every row of its id. An id with several vectors is one
+query: the best rows for any of its vectors. Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import stored
 
 SHARD_ROWS, LEAST_SHARDS, BLOCK = 8192, 8, 1024
+#: Blocks of queries that one copy of a shard's graph answers; a task's memory is a graph and so many blocks.
+SLICE = 64
 LINKS, WIDTH, SPREAD = 16, 64, 16
 
 
@@ -154,22 +158,29 @@ def build(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _answers(frames, k: int, width: int):
+    """Rows come shard by shard: the shard's index first, then blocks of queries, each answered and let go."""
     import pickle
 
+    of = None
     for pdf in frames:
         for r in pdf.itertuples():
-            graph, vectors, ids, member = pickle.loads(r.data)
-            order = np.argsort(member, kind="stable")
-            first = np.searchsorted(member[order], np.arange(len(vectors) + 1))
-            q = np.array([list(x) for x in r.vs], np.float64)
-            unit = _unit(q)
+            if r.data is not None:
+                graph, vectors, ids, member = pickle.loads(r.data)
+                of = r.dim, r.shard
+                order = np.argsort(member, kind="stable")
+                first, exact = np.searchsorted(member[order], np.arange(len(vectors) + 1)), _unit(vectors)
+                continue
+            if of != (r.dim, r.shard):
+                continue  # no rows of this length in the shard
+            unit = _unit(np.array([list(x) for x in r.vs], np.float64))
             found = graph.search(unit.astype(np.float32), width)
-            exact = _unit(vectors)
             out = []
             for i, (qid, row) in enumerate(zip(r.qids, found, strict=True)):
                 row = row[row >= 0]
-                score = exact[row] @ unit[i]
-                hits = [(-s, int(v)) for s, x in zip(score.tolist(), row.tolist()) for v in ids[order[first[x] : min(first[x + 1], first[x] + k + 1)]] if v != qid]
+                hits = []
+                for s, x in zip((exact[row] @ unit[i]).tolist(), row.tolist(), strict=True):
+                    same = ids[order[first[x] : first[x + 1]]]
+                    hits += [(-s, int(v)) for v in same[same != qid][:k]]
                 out += [(int(qid), v, -s) for s, v in sorted(hits)[:k]]
             yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
@@ -178,14 +189,18 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, width: int = WIDTH,
     """query_id, rank, vec_id, score: queries are the rows whose id `every` divides, candidates all rows but the query's."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col(id_col).isNotNull())
     rows = rows.withColumn("dim", F.size("v"))
-    shards = max(LEAST_SHARDS, -(-vectors.count() // SHARD_ROWS))
+    asks = F.col("vec_id") % every == 0
+    n, n_asked = rows.agg(F.count("*"), F.count(F.when(asks, 1))).first()
+    shards, blocks = max(LEAST_SHARDS, -(-n // SHARD_ROWS)), max(1, -(-n_asked // BLOCK))
+    slices = -(-blocks // SLICE)
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
     index = stored(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, data binary"))
-    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
-    blocks = max(1, vectors.count() // every // BLOCK)
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("dim", "block").agg(F.collect_list("vec_id").alias("qids"), F.collect_list("v").alias("vs"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    met = asked.join(index, ["dim", "shard"]).select("qids", "vs", "data").repartition(shards * min(blocks, 16))
+    # Blocks are numbered by hash and a block's rows by hash again, so that many rows of one id do not make one block.
+    asked = rows.where(asks).distinct().withColumn("block", F.pmod(F.xxhash64("v", "vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
+    asked = asked.groupBy("dim", "block").agg(F.collect_list("vec_id").alias("qids"), F.collect_list("v").alias("vs"))
+    asked = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), (F.col("block") % slices).cast("int").alias("slice"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("data"), "qids", "vs")
+    graphs = index.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("kind"), "data", F.lit(None).cast("array<bigint>").alias("qids"), F.lit(None).cast("array<array<double>>").alias("vs"))
+    met = graphs.union(asked).repartition(max(1, min(shards * slices, 100_000)), "dim", "shard", "slice").sortWithinPartitions("dim", "shard", "slice", "kind").select("dim", "shard", "data", "qids", "vs")
     found = met.mapInPandas(lambda frames: _answers(frames, k, width), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
