@@ -12,8 +12,9 @@ from lodestar.llm.common import read
 def good_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier accepts."""
     model = quality_model.train(docs, read(spark, sf_dir, "labels"))
-    scored = quality_model.score(docs, model, into="_score")
-    return scored.where(F.col("_score") >= quality_model.THRESHOLD).drop("_score")
+    name = "_score" + "_" * max(map(len, docs.columns))  # longer than any name in use
+    scored = quality_model.score(docs, model, into=name)
+    return scored.where(F.col(name) >= quality_model.THRESHOLD).drop(name)
 
 
 def without_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
