@@ -110,7 +110,8 @@ class Group:
         self.width, self.members = width, members
         self.known = np.unique(np.concatenate([scanner.sets[i] for i in members]))
         self.of = np.stack([np.isin(self.known, scanner.sets[i]) for i in members], 1)
-        self.step = max(scanner.lengths[i] for i in members)
+        self.step, self.least = max(scanner.lengths[i] for i in members), min(scanner.needs[i] for i in members)
+        self.bands = np.arange(BANDS)
         r = np.random.default_rng(len(self.known))
         #: The place of each known shingle in each band's order.
         self.place = np.argsort(r.random((len(self.known), BANDS)), 0).astype(np.int32)
@@ -119,30 +120,43 @@ class Group:
         for j in range(len(members)):
             self.table[np.arange(BANDS), self.place[self.of[:, j]].min(0), j] = True
         self.any = self.table.any(2)
-
-    def hits(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of known shingles and their numbers."""
-        at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
-        hit = np.flatnonzero(self.known[at] == keys)
-        return hit, at[hit]
+        #: For each shingle of the width, its number here, or -1.
+        every = scanner.known[width]
+        near = np.minimum(np.searchsorted(self.known, every), len(self.known) - 1)
+        self.number = np.where(self.known[near] == every, near, -1)
 
     def retrieved(self, hit: np.ndarray, at: np.ndarray):
-        """(member, [(first hit, end)]): windows whose sketch shares a band with the member's, those that overlap as one."""
-        if not len(hit):
+        """(member, [(first hit, end)]): windows whose sketch shares a band with the member's, those that overlap as one.
+
+        Windows of fewer hits than the smallest match has are passed over, as no member can be verified there.
+        """
+        block, low = np.unique(hit // self.step, return_index=True)
+        high = np.append(low[1:], len(hit))
+        # A window is a block and the one after it; the block before the first one of a run begins a window too.
+        after = np.minimum(np.arange(len(block)) + 1, len(block) - 1)
+        joined = block[after] == block + 1
+        end = np.where(joined, high[after], high)
+        full = np.flatnonzero(end - low >= self.least)
+        if not len(full):
             return
-        starts = np.unique(np.concatenate([hit // self.step, np.maximum(hit // self.step - 1, 0)]))
-        low, high = np.searchsorted(hit, starts * self.step), np.searchsorted(hit, (starts + 2) * self.step)
-        full = high > low
-        low, high = low[full], high[full]
-        candidates = np.zeros((len(low), len(self.members)), bool)
-        for i in range(0, len(low), 256):
-            a, b = low[i : i + 256], high[i : i + 256]
-            minima = np.stack([self.place[at[x:y]].min(0) for x, y in zip(a, b, strict=True)])
-            w, band = np.nonzero(self.any[np.arange(BANDS), minima])
-            np.logical_or.at(candidates, i + w, self.table[band, minima[w, band]])
+        wanted = np.unique(np.concatenate([full, after[full]]))
+        parts = np.empty((len(block), BANDS), np.int32)
+        for k in range(0, len(wanted), 1024):
+            own = wanted[k : k + 1024]
+            counts = high[own] - low[own]
+            first = np.cumsum(counts) - counts
+            rows = np.repeat(low[own] - first, counts) + np.arange(counts.sum())
+            parts[own] = np.minimum.reduceat(self.place[at[rows]], first, axis=0)
+        candidates = np.zeros((len(full), len(self.members)), bool)
+        for k in range(0, len(full), 1024):
+            w = full[k : k + 1024]
+            minima = np.where(joined[w, None], np.minimum(parts[w], parts[after[w]]), parts[w])
+            n, band = np.nonzero(self.any[self.bands, minima])
+            np.logical_or.at(candidates, k + n, self.table[band, minima[n, band]])
         for j in np.flatnonzero(candidates.any(0)):
             ranges: list[list[int]] = []
-            for x, y in zip(low[candidates[:, j]].tolist(), high[candidates[:, j]].tolist(), strict=True):
+            for w in full[candidates[:, j]].tolist():
+                x, y = int(low[w]), int(end[w])
                 if ranges and x <= ranges[-1][1]:
                     ranges[-1][1] = max(y, ranges[-1][1])
                 else:
@@ -162,6 +176,8 @@ class Scanner:
         self.lengths = [len(k) + max(len(k) // 4, 1) for k in keys]
         self.needs = [int(np.ceil(SHARE * len(s) - 1e-9)) for s in self.sets]
         classes = [(w, len(x).bit_length()) for w, x in zip(self.widths, self.sets, strict=True)]
+        #: All shingles of a width, looked up once for the groups of that width.
+        self.known = {w: np.unique(np.concatenate([x for x, v in zip(self.sets, self.widths, strict=True) if v == w])) for w in set(self.widths)}
         self.groups = [Group(self, width, [i for i, c in enumerate(classes) if c == (width, size)]) for width, size in sorted(set(classes))]
 
     def _ids(self, words: list[str]) -> np.ndarray:
@@ -185,8 +201,18 @@ class Scanner:
         for group in self.groups:
             width = group.width
             if width not in keys_of:
-                keys_of[width] = self._keys(ids, width)
-            hit, at = group.hits(keys_of[width])
+                keys, every = self._keys(ids, width), self.known[width]
+                places = np.flatnonzero(keys)
+                near = np.minimum(np.searchsorted(every, keys[places]), len(every) - 1)
+                same = every[near] == keys[places]
+                keys_of[width] = places[same], near[same]
+            hit, at = keys_of[width]
+            if len(hit) < group.least:
+                continue
+            at = group.number[at]
+            hit, at = hit[at >= 0], at[at >= 0]
+            if len(hit) < group.least:
+                continue
             for j, ranges in group.retrieved(hit, at):
                 t = group.members[j]
                 there = there or set(words)
