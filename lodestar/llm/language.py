@@ -96,7 +96,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     sizes = taught.groupBy("lang").agg(F.approx_count_distinct("key").alias("n"))
     near = taught.select("key", "lang", place.alias("place")).join(sizes, "lang").where(F.col("place") * F.col("n") <= F.lit(2.0 * sample * (1 << 40))).distinct()
     chosen = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "key"))).where(F.col("rank") <= sample)
-    chosen = chosen.select("key", "lang", (F.col("n") < sample // 10).alias("rare"))
+    chosen = chosen.select("key", "lang", (F.col("n") < sample // 10).alias("rare"))  # at most `sample` a language, so it may be broadcast
 
     def count(batch):
         c: Counter = Counter()
@@ -111,7 +111,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
         keys = list(c)
         return {"lang": [k[0] for k in keys], "rare": [rare[k[0]] for k in keys], "n": [k[1] for k in keys], "s": [k[2] for k in keys], "c": [c[k] for k in keys]}
 
-    counted = map_arrow(taught.join(chosen, ["key", "lang"]).dropDuplicates(["key", "lang"]).select("text", "lang", "rare"), count, struct("lang string, rare boolean, n int, s string, c long"))
+    counted = map_arrow(taught.join(F.broadcast(chosen), ["key", "lang"]).dropDuplicates(["key", "lang"]).select("text", "lang", "rare"), count, struct("lang string, rare boolean, n int, s string, c long"))
     got = counted.groupBy("lang", "rare", "n", "s").agg(F.sum("c").alias("c")).where("c > 1 or n = 1 or rare").toArrow()
     keys = zip(*(got.column(x).to_pylist() for x in ("lang", "n", "s")), strict=True)
     return Languages(dict(zip(keys, got.column("c").to_pylist(), strict=True)))
