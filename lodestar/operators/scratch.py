@@ -31,6 +31,10 @@ class Scratch:
         df.write.parquet(self.paths[-1])
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
+    def delete_first(self) -> None:
+        """For a caller that reads the oldest table no more."""
+        delete(self.spark, self.paths.pop(0))
+
     def delete_all_but_last(self) -> None:
         """For a caller whose result reads nothing but the last table."""
         for path in self.paths[:-1]:
