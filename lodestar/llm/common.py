@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.operators.scratch import Scratch, delete, shared_folder  # noqa: F401
+
 #: Words are runs of anything but ASCII white space; Java and Python regexes read these alike.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
@@ -32,43 +32,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), lambda w: w != "")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors of a cluster share; one is set only where there is none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir("/tmp/lodestar-checkpoints")
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-class Scratch:
-    """Writes tables to the shared folder and reads them again, which survives lost executors and ends the lineage."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.paths = spark, []
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        self.paths.append(f"{shared_folder(self.spark)}/lodestar-{uuid.uuid4().hex}")
-        df.write.parquet(self.paths[-1])
-        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
-
-    def delete_all_but_last(self) -> None:
-        """For a caller whose result reads nothing but the last table."""
-        for path in self.paths[:-1]:
-            delete(self.spark, path)
-        del self.paths[:-1]
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Deletes a folder in whatever store it is."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """One table written to the shared folder and read again."""
     return Scratch(df.sparkSession)(df)

@@ -38,6 +38,8 @@ K = 64
 MARGIN = 5
 REMEMBERED = 200_000
 ROUNDS = 3
+#: The most nodes whose keys, some 100 bytes each, are broadcast to fetch their texts; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 class Shingler:
@@ -76,15 +78,15 @@ def digest(text: Column) -> Column:
 
 
 def sketches(docs: DataFrame, width: int, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest (of the text), n_shingles, node (the digest of the whole set, null if empty), sketch."""
+    """doc_id, digest (of the text), n_shingles, name (the digest of the whole set, null if empty), sketch."""
 
     def run(batch):
         shingler = Shingler(width)
         sets = [shingler(t) for t in texts_of(batch)]
-        return {"doc_id": batch.column("doc_id"), "digest": batch.column("digest"), "n_shingles": [len(s) for s in sets], "node": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "sketch": [s[:k] for s in sets]}
+        return {"doc_id": batch.column("doc_id"), "digest": batch.column("digest"), "n_shingles": [len(s) for s in sets], "name": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "sketch": [s[:k] for s in sets]}
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), digest(F.col(text_col)).alias("digest"))
-    return map_arrow(rows, run, struct(f"doc_id {docs.schema[id_col].dataType.simpleString()}, digest binary, n_shingles long, node binary, sketch array<long>"))
+    return map_arrow(rows, run, struct(f"doc_id {docs.schema[id_col].dataType.simpleString()}, digest binary, n_shingles long, name binary, sketch array<long>"))
 
 
 def _full_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -93,10 +95,10 @@ def _full_sets(texts: DataFrame, width: int) -> DataFrame:
     def run(batch):
         shingler = Shingler(width)
         sets = [shingler(t) for t in texts_of(batch)]
-        names = batch.column("node").to_pylist()
+        names = batch.column("name").to_pylist()
         return {"node": batch.column("node"), "members": [x if xxhash.xxh3_128_digest(x.tobytes()) == n else None for x, n in zip(sets, names, strict=True)]}
 
-    return map_arrow(texts.select("node", "text"), run, struct("node binary, members array<long>"))
+    return map_arrow(texts.select("node", "name", "text"), run, struct("node long, members array<long>"))
 
 
 def _asked(size: Column, percent: int, margin: float) -> Column:
@@ -225,12 +227,18 @@ def judged(docs: DataFrame, width: int, percent: int, k: int = K, margin: float
     """near_duplicates with the digest of each row's text. The folder that the result reads stays; the others are deleted."""
     stored = Scratch(docs.sparkSession)
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stored(sketches(named, width, k).withColumn("row", F.monotonically_increasing_id()))
-    nodes = stored(rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "row")).alias("best"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    sketched = stored(sketches(named, width, k).withColumn("row", F.monotonically_increasing_id()))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "row"))
+    nodes = sketched.where("name is not null").groupBy("name").agg(best.alias("best"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))  # a number, half as wide in all that follows as the name
+    rows = stored(sketched.drop("sketch"))
+    stored.delete_first()
 
     going = _going_on(nodes, percent, k, margin).select("node")
-    chosen = nodes.join(going, "node").select("node", F.col("best.doc_id").alias("c_id"), F.col("best.digest").alias("c_digest"))
-    texts = named.join(chosen, F.col("doc_id").eqNullSafe(F.col("c_id")) & (digest(F.col("text")) == F.col("c_digest"))).select("node", "text")
+    chosen = stored(nodes.join(going, "node").select("node", "name", F.col("best.doc_id").alias("c_id"), F.col("best.digest").alias("c_digest")))
+    few = chosen.count() <= BROADCAST_ROWS
+    own = F.col("doc_id").eqNullSafe(F.col("c_id")) & (digest(F.col("text")) == F.col("c_digest"))
+    texts = named.join(F.broadcast(chosen) if few else chosen, own).select("node", "name", "text")
     sets = stored(_full_sets(texts, width).where("members is not null").dropDuplicates(["node"]))
     lists = stored(inverted(sets, percent))
 
@@ -245,11 +253,12 @@ def judged(docs: DataFrame, width: int, percent: int, k: int = K, margin: float
     if not more.isEmpty():
         roots = components(more if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), stored)
 
-    named_nodes = nodes.select("node", "best") if roots is None else nodes.select("node", "best").join(roots, "node", "left")
-    named_nodes = named_nodes.withColumn("root", F.lit(None).cast("binary") if roots is None else F.col("root")).withColumn("root", F.coalesce("root", "node"))
+    named_nodes = nodes.select("name", "node", "best")
+    named_nodes = named_nodes if roots is None else named_nodes.join(roots, "node", "left")
+    named_nodes = named_nodes.withColumn("root", F.lit(None).cast("long") if roots is None else F.col("root")).withColumn("root", F.coalesce("root", "node"))
     names = named_nodes.groupBy("root").agg(F.min("best").alias("best"))
-    ids = named_nodes.drop("best").join(names, "root").select("node", "best")
-    out = rows.drop("sketch").join(ids, "node", "left")
+    ids = named_nodes.drop("best").join(names, "root").select("name", "best")
+    out = rows.join(ids, "name", "left")
     # Without words (no best) a row is kept.
     same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest")) & (F.col("doc_id").isNotNull() | (F.col("row") == F.col("best.row")))
     out = stored(out.select("doc_id", "digest", "n_shingles", F.coalesce("best.doc_id", "doc_id").alias("component_id"), (F.col("best").isNull() | same).alias("kept")))
