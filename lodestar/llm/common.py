@@ -42,15 +42,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+#: Bytes of a batch that an operator's function is given at once; only a single row may be larger.
+PIECE = 4_000_000
+
+
+def pieces(batch):
+    """The batch in runs of rows of at most PIECE bytes, so that what is made of long texts needs little memory at once."""
+    if batch.num_rows < 2 or batch.nbytes <= PIECE:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from pieces(batch.slice(0, half))
+        yield from pieces(batch.slice(half))
+
+
 def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
-    """Applies fn (a RecordBatch to a dict of columns) to every batch; the dict's columns come out in the schema's order."""
+    """Applies fn (a RecordBatch to a dict of columns) to every piece of every batch; the dict's columns come out in the schema's order."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             if batch.num_rows:
                 out = fn(batch)
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c := out[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for f in arrow], schema=arrow)

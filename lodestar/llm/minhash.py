@@ -80,8 +80,9 @@ def digest(text: Column) -> Column:
 def sketches(docs: DataFrame, width: int, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, digest (of the text), n_shingles, name (the digest of the whole set, null if empty), sketch."""
 
+    shingler = Shingler(width)  # every task has its own copy
+
     def run(batch):
-        shingler = Shingler(width)
         sets = [shingler(t) for t in texts_of(batch)]
         return {"doc_id": batch.column("doc_id"), "digest": batch.column("digest"), "n_shingles": [len(s) for s in sets], "name": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "sketch": [s[:k] for s in sets]}
 
@@ -92,8 +93,9 @@ def sketches(docs: DataFrame, width: int, k: int = K, id_col: str = "doc_id", te
 def _full_sets(texts: DataFrame, width: int) -> DataFrame:
     """node, members; null where the text's set is not the one that the node is named after."""
 
+    shingler = Shingler(width)  # every task has its own copy
+
     def run(batch):
-        shingler = Shingler(width)
         sets = [shingler(t) for t in texts_of(batch)]
         names = batch.column("name").to_pylist()
         return {"node": batch.column("node"), "members": [x if xxhash.xxh3_128_digest(x.tobytes()) == n else None for x, n in zip(sets, names, strict=True)]}
