@@ -29,7 +29,8 @@ from lodestar.llm.common import map_arrow, struct, texts_of
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]*")
 #: Stands for the end of a word; no mapped byte has this character.
 END = chr(0xE000)
-REMEMBERED = 500_000
+#: Words remembered at most, in two generations: what the older one holds and no text asks for again is forgotten.
+REMEMBERED = 200_000
 NEVER = 1 << 30
 
 
@@ -84,7 +85,9 @@ class Bpe:
         self.longest = max(map(len, self.whole))
         self.pattern = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Ids of words, as little-endian unsigned 32-bit integers.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.library = None
         self.failed = 0
 
@@ -155,13 +158,14 @@ class Bpe:
         return good
 
     def learn(self, words: set[str]) -> None:
-        """Encodes the words that are not remembered yet."""
+        """Encodes the words that are not remembered yet; afterwards `known` has all the words."""
         new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > REMEMBERED // 2:
+            self.older, self.known, new = self.known, {}, list(words)
+        self.known.update((w, self.older[w]) for w in new if w in self.older)
+        new = [w for w in new if w not in self.known]
         if not new:
             return
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(words)
         guesses = [self.proposed(w) for w in new]
         flat = np.fromiter((i for g in guesses for i in g), np.int64)
         owner = np.repeat(np.arange(len(new)), [len(g) for g in guesses])
@@ -170,8 +174,11 @@ class Bpe:
         good = self.compatible(pairs // len(self.names), pairs % len(self.names))
         bad = set(np.unique(owner[1:][inside][~good[back]]).tolist())
         self.failed += len(bad)
+        data, start = flat.astype("<u4").tobytes(), 0
         for k, (w, g) in enumerate(zip(new, guesses, strict=True)):
-            self.known[w] = tuple(self.merged(self.base(w)) if k in bad else g)
+            stop = start + 4 * len(g)
+            self.known[w] = np.array(self.merged(self.base(w)), "<u4").tobytes() if k in bad else data[start:stop]
+            start = stop
 
     def words(self, text: str) -> list[str]:
         if PLAIN.fullmatch(text):
@@ -190,14 +197,8 @@ class Bpe:
         self.learn({w for p in parts for _, ws in p if ws for w in ws})
         out, known = [], self.known
         for p in parts:
-            ids: list[int] = []
-            for name, ws in p:
-                if name is not None:
-                    ids.append(self.special[name])
-                else:
-                    for w in ws:
-                        ids += known[w]
-            out.append(np.array(ids, dtype="<u4"))
+            ids = [np.array([self.special[name]], "<u4").tobytes() if name is not None else b"".join(map(known.__getitem__, ws)) for name, ws in p]
+            out.append(np.frombuffer(b"".join(ids), "<u4"))
         return out
 
     def decode(self, ids) -> str:
@@ -217,7 +218,7 @@ def default_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-def _slices(texts: list[str], characters: int = 4_000_000):
+def _slices(texts: list[str], characters: int = 500_000):
     """Runs of texts of bounded total length, so that a batch of long texts needs little memory at once."""
     start, size = 0, 0
     for i, t in enumerate(texts):
