@@ -36,4 +36,4 @@ def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.tokenise(docs.select("doc_id", "source", "text")).select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+    return bpe.tokenise(docs.select("doc_id", "source", "text"), remembered=100_000).select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
